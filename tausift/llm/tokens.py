@@ -5,9 +5,9 @@ from __future__ import annotations
 import re
 import unicodedata
 
-_INVISIBLE = dict.fromkeys([*range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), 0xFEFF, 0xAD])
+_DROPPED = re.compile("[\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff\xad*_`]+")
+_DIGIT = re.compile("[०-९]")
 _DIGITS = {0x0966 + k: 0x30 + k for k in range(10)}
-_TABLE = _INVISIBLE | _DIGITS | dict.fromkeys(map(ord, "*_`"))
 _CJK = "぀-ヿ㐀-鿿豈-﫿々〇。、・「」"
 _SPACED = re.compile(rf"(?<=[{_CJK}])\s+(?=[{_CJK}\d])|(?<=\d)\s+(?=[{_CJK}])|(?<=\d)　(?=\d)")
 _TAG = re.compile(r"</?[a-zA-Z][^>\n]*>")
@@ -19,7 +19,9 @@ def normal(text: str) -> str:
     of scripts that have none between words; digits are ASCII."""
     if not text.isascii():
         text = _SPACED.sub("", text)
-    text = unicodedata.normalize("NFKC", text).lower().translate(_TABLE)
+    text = _DROPPED.sub("", unicodedata.normalize("NFKC", text).lower())
+    if _DIGIT.search(text):
+        text = text.translate(_DIGITS)
     return _TAG.sub("", text) if "<" in text else text
 
 
