@@ -68,10 +68,10 @@ def collapsed(column: str | Column) -> Column:
     return F.regexp_replace(column, r"[ \t\r\n]+", " ")
 
 
-def char_ngrams(column: str, n: int) -> Column:
-    """Every n characters in a row of a text column; empty for fewer."""
-    starts = F.sequence(F.lit(1), F.length(column) - (n - 1))
-    return F.when(F.length(column) >= n, F.transform(starts, lambda i: F.substring(column, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+def char_ngrams(chars: Column, n: int) -> Column:
+    """Every n characters in a row; empty for fewer. chars: an array column of single characters."""
+    starts = F.sequence(F.lit(1), F.size(chars) - (n - 1))
+    return F.when(F.size(chars) >= n, F.transform(starts, lambda i: F.array_join(F.slice(chars, i, n), ""))).otherwise(F.array().cast("array<string>"))
 
 
 def first_integer(column: str | Column, most: int) -> Column:

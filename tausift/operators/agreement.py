@@ -90,11 +90,11 @@ def count_inversions(df: DataFrame, group: list[str], order: list[str], value: l
     return cross.unionByName(rows).unionByName(columns).groupBy(*group).agg(F.sum("__d").cast("long").alias(name))
 
 
-def pair_counts(df: DataFrame, group: list[str], x: str, y: str, orientation: str, most: int = MERGE_ROWS) -> DataFrame:
-    """Per group: n, pairs, concordant, discordant, tied_x and tied_y (in that one only), tied_both, and oriented.
+def pair_counts(df: DataFrame, group: list[str], x: str, y: str, orientation: str | None = None, most: int = MERGE_ROWS) -> DataFrame:
+    """Per group: n, pairs, concordant, discordant, tied_x and tied_y (in that one only), tied_both, all BIGINT.
 
-    oriented: pairs on which the strict comparisons x_i > x_j and y_i > y_j differ, i standing before j in the column
-    `orientation`; one-sided ties count in one orientation only. All BIGINT. Rows with a null x or y are left out.
+    With a column `orientation` also oriented: pairs on which the strict comparisons x_i > x_j and y_i > y_j differ, i
+    standing before j in that column; one-sided ties count in one orientation only. Rows with a null x or y are left out.
     """
     rows = df.dropna(subset=[x, y])
     inverted = count_inversions(rows, group, [x], [y], "discordant", most)
@@ -104,15 +104,22 @@ def pair_counts(df: DataFrame, group: list[str], x: str, y: str, orientation: st
     in_x = both.groupBy(*group, x).agg(F.sum("c").alias("c")).groupBy(*group).agg(pairs_of("c").alias("all_x"))
     in_y = both.groupBy(*group, y).agg(F.sum("c").alias("c")).groupBy(*group).agg(pairs_of("c").alias("all_y"))
     in_both = both.groupBy(*group).agg(pairs_of("c").alias("tied_both"))
-    tied_x = count_inversions(rows.withColumn("__k", F.col(x)), [*group, "__k"], [orientation], [y], "o", most).groupBy(*group).agg(F.sum("o").alias("ox"))
-    tied_y = count_inversions(rows.withColumn("__k", F.col(y)), [*group, "__k"], [orientation], [x], "o", most).groupBy(*group).agg(F.sum("o").alias("oy"))
+    parts = [inverted, in_x, in_y, in_both]
+    if orientation:
+        for tied, other, name in ((x, y, "ox"), (y, x, "oy")):
+            # ties are few; values that stand alone have no pair to turn round
+            keyed = rows.withColumn("__k", F.col(tied))
+            several = keyed.join(keyed.groupBy(*group, "__k").count().filter("count > 1").drop("count"), [*group, "__k"], "left_semi")
+            turned = count_inversions(several, [*group, "__k"], [orientation], [other], "o", most).groupBy(*group).agg(F.sum("o").alias(name))
+            parts.append(sizes.select(*group).join(turned, group, "left").select(*group, F.coalesce(name, F.lit(0)).alias(name)))
     joined = sizes
-    for part in (inverted, in_x, in_y, in_both, tied_x, tied_y):
+    for part in parts:
         joined = joined.join(part, group)
     pairs = (F.col("n") * (F.col("n") - 1) / 2).cast("long")
     return joined.select(
         *group, "n", pairs.alias("pairs"), (pairs - F.col("discordant") - F.col("all_x") - F.col("all_y") + F.col("tied_both")).alias("concordant"), "discordant",
-        (F.col("all_x") - F.col("tied_both")).alias("tied_x"), (F.col("all_y") - F.col("tied_both")).alias("tied_y"), "tied_both", (F.col("discordant") + F.col("ox") + F.col("oy")).alias("oriented"),
+        (F.col("all_x") - F.col("tied_both")).alias("tied_x"), (F.col("all_y") - F.col("tied_both")).alias("tied_y"), "tied_both",
+        *([(F.col("discordant") + F.col("ox") + F.col("oy")).alias("oriented")] if orientation else []),
     )
 
 
@@ -132,7 +139,7 @@ def gamma() -> Column:
 def inversion_rates() -> dict[str, Column]:
     """Inversion rate by tie convention, over the columns of `pair_counts`; null without pairs.
 
-    strict: strict comparisons differ; skip: untied pairs only; skip_full: discordant of all pairs; half: half for any
+    strict: strict comparisons differ (needs `oriented`); skip: untied pairs only; skip_full: discordant of all pairs; half: half for any
     tie; half_xor: half for a tie in exactly one.
     """
     p, d = F.col("pairs").cast("double"), F.col("discordant").cast("double")

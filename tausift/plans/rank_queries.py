@@ -20,7 +20,7 @@ counts AS (SELECT slice, CAST(count(*) AS BIGINT) AS pairs, CAST(count(*) FILTER
 
 
 def _counts(spark: SparkSession, d: str) -> DataFrame:
-    return pair_counts(slices(spark, d), ["slice"], "g", "l", "entity")
+    return pair_counts(slices(spark, d), ["slice"], "g", "l")
 
 
 def rank_agreement(spark: SparkSession, d: str) -> DataFrame:
@@ -31,7 +31,7 @@ def rank_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 def inversion_policies(spark: SparkSession, d: str) -> DataFrame:
     """Per slice and tie convention: the inversion rate."""
-    wide = _counts(spark, d).filter("pairs > 0").select("slice", *(c.alias(n) for n, c in inversion_rates().items()))
+    wide = pair_counts(slices(spark, d), ["slice"], "g", "l", "entity").filter("pairs > 0").select("slice", *(c.alias(n) for n, c in inversion_rates().items()))
     return wide.unpivot(["slice"], list(inversion_rates()), "policy", "rate")
 
 
@@ -42,7 +42,7 @@ def supplier_rank_agreement(spark: SparkSession, d: str) -> DataFrame:
     cells = lines.join(orders, "l_orderkey").groupBy("entity", "slice").agg(F.sum("v").alias("t"), F.count(F.lit(1)).alias("n"))
     overall = cells.groupBy("entity").agg(ratio(F.sum("t"), F.sum("n")).alias("g"))
     both = cells.select("entity", "slice", ratio(F.col("t"), F.col("n")).alias("l")).join(overall, "entity")
-    counted = pair_counts(both, ["slice"], "g", "l", "entity")
+    counted = pair_counts(both, ["slice"], "g", "l")
     return counted.select("slice", "n", "pairs", "concordant", "discordant", tau_b().alias("tau_b"))
 
 
@@ -171,7 +171,7 @@ def slice_audit_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def tier_sensitivity(spark: SparkSession, d: str) -> DataFrame:
     """Per tier and slice: tau-b and inversion rate; and a row `MEDIAN` per tier."""
-    counts = pair_counts(slices(spark, d), ["tier", "slice"], "g", "l", "entity").filter("n >= 3")
+    counts = pair_counts(slices(spark, d), ["tier", "slice"], "g", "l").filter("n >= 3")
     detail = counts.select("tier", "slice", "n", tau_b().alias("tau_b"), inversion_rates()["skip"].alias("inversion_rate"))
     medians = detail.groupBy("tier").agg(F.median("tau_b").alias("tau_b"), F.median("inversion_rate").alias("inversion_rate"), F.floor(F.median("n")).alias("n")).select("tier", F.lit("MEDIAN").alias("slice"), "n", "tau_b", "inversion_rate")
     return detail.unionByName(medians)
@@ -191,7 +191,7 @@ def slice_asymmetry(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "unified_results").filter("short_name is not null and language is not null")
     bands = rows.groupBy(F.col("short_name").alias("entity"), F.col("language").alias("slice")).agg(F.max("n_tasks").alias("t"))
     banded = slices(spark, d).join(bands, ["entity", "slice"]).withColumn("band", F.when(F.col("t") <= 2, "2").when(F.col("t") == 3, "3").otherwise("4+"))
-    counts = pair_counts(banded, ["tier", "band", "slice"], "g", "l", "entity").withColumn("rate", inversion_rates()["skip"]).filter("rate is not null")
+    counts = pair_counts(banded, ["tier", "band", "slice"], "g", "l").withColumn("rate", inversion_rates()["skip"]).filter("rate is not null")
     return counts.groupBy("tier", "band").agg(F.count(F.lit(1)).alias("n_slices"), F.round(F.avg("rate"), 6).alias("mean_rate"), F.median("rate").alias("median_rate"))
 
 

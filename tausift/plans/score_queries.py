@@ -82,7 +82,7 @@ def aggregator_comparison(spark: SparkSession, d: str) -> DataFrame:
     loo = leave_one_out(local, "entity", "slice", "l")
     variants = local.join(loo, ["entity", "slice"]).select("slice", "entity", "l", F.col("g").cast("double").alias("global"), "macro", "loo")
     long = variants.unpivot(["slice", "entity", "l"], ["global", "macro", "loo"], "aggregator", "x").dropna()
-    counts = pair_counts(long, ["aggregator", "slice"], "x", "l", "entity").filter("pairs > 0")
+    counts = pair_counts(long, ["aggregator", "slice"], "x", "l").filter("pairs > 0")
     return counts.select("aggregator", "slice", "n", tau_b().alias("tau_b"), inversion_rates()["skip"].alias("inversion_rate"))
 
 

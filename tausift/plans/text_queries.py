@@ -50,7 +50,8 @@ def _word_grams(texts: DataFrame, text: str, n: int) -> DataFrame:
 
 
 def _char_grams(texts: DataFrame, text: str, n: int) -> DataFrame:
-    return texts.withColumn("line", collapsed(text)).withColumn("grams", char_ngrams("line", n))
+    # as an array: substrings of a string are searched from its start each time
+    return texts.withColumn("chars", F.filter(F.split(collapsed(text), ""), lambda c: c != "")).withColumn("grams", char_ngrams(F.col("chars"), n))
 
 
 def ngram_contamination(spark: SparkSession, d: str) -> DataFrame:
