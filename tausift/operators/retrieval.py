@@ -102,10 +102,10 @@ def evaluate(run: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
     all relevant documents. A query without retrieved documents has 0, one without relevant documents is left out.
     """
     gain = lambda rel, rank: rel / F.log2(rank + F.lit(1.0))
-    positive = relevant.filter("rel > 0")
+    positive = relevant.select("qid", "doc_id", "rel").filter("rel > 0")
     best = Window.partitionBy("qid").orderBy(F.col("rel").desc(), "doc_id")
     ideal = positive.withColumn("r", F.row_number().over(best)).groupBy("qid").agg(F.sum(F.when(F.col("r") <= k, gain(F.col("rel"), F.col("r")))).alias("ideal"), F.count(F.lit(1)).alias("n"))
-    hits = run.filter(F.col("rank") <= k).join(positive, ["qid", "doc_id"]).groupBy("qid").agg(F.sum(gain(F.col("rel"), F.col("rank"))).alias("dcg"), F.count(F.lit(1)).alias("found"), F.min("rank").alias("first"))
+    hits = run.select("qid", "doc_id", "rank").filter(F.col("rank") <= k).join(positive, ["qid", "doc_id"]).groupBy("qid").agg(F.sum(gain(F.col("rel"), F.col("rank"))).alias("dcg"), F.count(F.lit(1)).alias("found"), F.min("rank").alias("first"))
     zero = F.lit(0.0)
     return ideal.join(hits, "qid", "left").select("qid", F.coalesce(F.col("dcg") / F.col("ideal"), zero).alias("ndcg"), F.coalesce(F.col("found") / F.col("n"), zero).alias("recall"), F.coalesce(F.lit(1.0) / F.col("first"), zero).alias("mrr"))
 
