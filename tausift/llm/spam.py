@@ -15,13 +15,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tausift.llm.pairs import FUNCTION_WORDS
+
 #: Share of a page's characters (blanks don't count) that spam shapes must hold, and how many shapes may hold it.
 MORE_THAN, FEW_SHAPES = 0.5, 8
 #: Plain words without separators count as keywords if this share of them repeats words of the same page's keyword lines.
 REPEATED = 0.4
+#: Share of function words from which lines of plain words are wrapped sentences.
+PROSE = 0.28
 #: Lines that a shape of links, tags or keywords needs, unless one line alone is a list of as many entries.
 LEAST_LINES = 3
 
+_FUNCTION_WORDS = frozenset(w for words in FUNCTION_WORDS.values() for w in words)
 _INVISIBLE = dict.fromkeys([*range(0x200B, 0x2010), 0x2060, 0xFEFF, 0xAD])
 _LINES = re.compile(r"\r\n|[\r\n\x85  ]")
 _ANCHOR = re.compile(r"<a\s[^>]*>(.*?)</a>", re.IGNORECASE)
@@ -94,10 +99,30 @@ def _entries(kind: str, line: str) -> int:
     return len(_WORD.findall(line))
 
 
+def _wrapped_prose(shaped: list[tuple[tuple[str, str], str]]) -> None:
+    """Makes sentences of runs of plain lines that touch a broken sentence: one that goes on behind the line's end, or that
+    begins in the middle. Lines of keywords stand beside whole sentences only."""
+    k = 0
+    while k < len(shaped):
+        if shaped[k][0][0] != "words":
+            k += 1
+            continue
+        end = k
+        while end < len(shaped) and shaped[end][0][0] == "words":
+            end += 1
+        for at in (k - 1, end):
+            if 0 <= at < len(shaped) and shaped[at][0][0] == "sentence":
+                line = shaped[at][1].strip().lstrip("> ")
+                if not _SENTENCE_END.search(line) or line[:1].islower():
+                    shaped[k:end] = [(("sentence", "sentence"), x) for _, x in shaped[k:end]]
+                    break
+        k = end
+
+
 def _short_lines(lines: dict[tuple[str, str], list[str]], words: Counter[str]) -> bool:
-    """Whether all lines of plain words are short and most of their words come up again."""
+    """Whether all lines of plain words are short and many of their words come up again."""
     short = all(shape[5] in "12" for kind, shape in lines if kind == "words")
-    return short and sum(n for n in words.values() if n > 1) * 2 >= sum(words.values())
+    return short and sum(n for n in words.values() if n > 1) >= REPEATED * sum(words.values())
 
 
 def spam_share(text: str) -> tuple[float, list[str]]:
@@ -105,19 +130,22 @@ def spam_share(text: str) -> tuple[float, list[str]]:
     total = 0
     chars: Counter[tuple[str, str]] = Counter()
     lines: defaultdict[tuple[str, str], list[str]] = defaultdict(list)
-    for line in _LINES.split(text.translate(_INVISIBLE)):
+    shaped = [(line_shape(line), line) for line in _LINES.split(text.translate(_INVISIBLE))]
+    _wrapped_prose(shaped)
+    for shape, line in shaped:
         size = len("".join(line.split()))
         if not size:
             continue
         total += size
-        shape = line_shape(line)
         chars[shape] += size
         if shape[0] in ("links", "tags", "words"):
             lines[shape].append(line)
     if not total or not lines:
         return 0.0, []
     words = Counter(w.casefold() for (kind, _), group in lines.items() if kind == "words" for line in group for w in _WORD.findall(line))
-    keywords = sum(words.values()) >= 8 and (1 - len(words) / sum(words.values()) >= REPEATED or _short_lines(lines, words))
+    count = sum(words.values())
+    prose = sum(n for w, n in words.items() if w in _FUNCTION_WORDS) >= PROSE * count  # lines of wrapped sentences
+    keywords = count >= 8 and not prose and (1 - len(words) / count >= REPEATED or _short_lines(lines, words))
     of_kind: Counter[str] = Counter()
     for (kind, _), group in lines.items():
         of_kind[kind] += sum(max(1, _entries(kind, line)) if kind == "tags" and len(group) < LEAST_LINES else _entries(kind, line) if kind == "links" else 1 for line in group)
