@@ -231,14 +231,14 @@ def is_copied(text: str, question: str) -> bool:
     vocabulary = set(q)
     if sum(w in vocabulary for w in a) < 0.5 * len(a):
         return False
-    repeats = max(1, round(len(a) / len(q)))
+    repeats = -(-len(a) // len(q))
     least = min(3 if any("぀" <= w[0] <= "鿿" for w in q) else 2, len(q))
     marked, used = tiling(a, q * repeats, least)
     left = [w for w, m in zip(a, marked, strict=True) if not m and w not in LABELS]
     cjk = "".join(w for w in left if "぀" <= w[0] <= "鿿" and len(w) == 1)
     other = [w for w in left if not ("぀" <= w[0] <= "鿿" and len(w) == 1)]
     kept = JA_LABELS.sub("", cjk)
-    return used >= 0.6 * len(q) * repeats and not [w for w in other if w[0].isdigit() or w not in vocabulary] and len(kept) <= 1 and len(cjk) <= 12 and not rest.rstrip(" 。").endswith(("に", "につ", "について", "につい"))
+    return used >= 0.6 * len(q) and not [w for w in other if w[0].isdigit() or w not in vocabulary] and len(kept) <= 1 and len(cjk) <= 12 and not rest.rstrip(" 。").endswith(("に", "につ", "について", "につい"))
 
 
 def _sentences(text: str) -> list[str]:

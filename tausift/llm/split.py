@@ -40,6 +40,15 @@ def _splits_a_character(text: str, at: int) -> bool:
     return 0 < at < len(text) and (unicodedata.category(text[at]) in ("Mn", "Mc", "Me") or text[at] in "‍️" or text[at - 1] == "‍" or text[at - 1 : at + 1] == "\r\n")
 
 
+def _unparted(text: str, low: int, high: int, target: int) -> int:
+    """The cut in [low, high] nearest to target that parts no character, -1 if there is none."""
+    for away in range(max(target - low, high - target) + 1):
+        for cut in (target - away, target + away):
+            if low <= cut <= high and not _splits_a_character(text, cut):
+                return cut
+    return -1
+
+
 class _Boundaries:
     def __init__(self, text: str) -> None:
         self.text = text
@@ -72,15 +81,19 @@ def split_points(text: str, max_size: int, overlap: int) -> list[tuple[int, int,
         return [(0, length, "end")]
     marks = _Boundaries(text)
     least = 1 + -(-(length - max_size) // step)
-    for count in range(least, 2 * least + 3):
-        pieces = _place(marks, length, max_size, overlap, count)
-        if pieces:
-            return pieces
-    return _place(marks, length, max_size, overlap, None) or []
+    for whole in (True, False):  # characters are parted only if nothing else holds
+        for count in [*range(least, 2 * least + 3), None]:
+            pieces = _place(marks, length, max_size, overlap, count, whole)
+            if pieces:
+                return pieces
+    return []
 
 
-def _place(marks: _Boundaries, length: int, max_size: int, overlap: int, count: int | None) -> list[tuple[int, int, str]] | None:
-    """Pieces by equal targets for `count` pieces, None if they don't hold; count None: every piece as long as may be."""
+def _place(marks: _Boundaries, length: int, max_size: int, overlap: int, count: int | None, whole: bool) -> list[tuple[int, int, str]] | None:
+    """Pieces by equal targets for `count` pieces, None if they don't hold; count None: every piece as long as may be.
+
+    whole: a cut must not part a character from its marks.
+    """
     pieces: list[tuple[int, int, str]] = []
     start = end = 0
     while length - start > max_size or (count and len(pieces) + 1 < count and length > end):
@@ -100,11 +113,10 @@ def _place(marks: _Boundaries, length: int, max_size: int, overlap: int, count:
         if cut < 0:
             cut, kind = marks.best(low, high, target)
         if cut < 0:
-            cut, kind = target, "none"
-            while cut > low and _splits_a_character(marks.text, cut):
-                cut -= 1
-            if _splits_a_character(marks.text, cut):
-                cut = target
+            cut, kind = _unparted(marks.text, low, high, target), "none"
+            if cut < 0 and whole:
+                return None
+            cut = cut if cut >= 0 else target
         pieces.append((start, cut, kind))
         start, end = cut - overlap, cut
     pieces.append((start, length, "end"))
