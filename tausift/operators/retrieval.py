@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tausift.runtime import small
+
 #: Queries that are held by a task at a time; more go in further passes.
 QUERY_BLOCK = 20_000
 
@@ -20,17 +22,19 @@ def bm25(queries: DataFrame, documents: DataFrame, k: int, k1: float = 1.5, b: f
     queries: (qid, tokens); documents: (doc_id, tokens). A query token counts as often as it occurs. A token that more
     than half of the documents have gets epsilon times the mean idf of the vocabulary. Scores are rounded to 6 decimals;
     equal ones go by doc_id. Documents without a query token have score 0 and fill up the places that are left. The
-    statistics are over all documents; only postings of query tokens are joined.
+    statistics are over all documents; only postings of query tokens are counted and joined.
     """
-    postings = documents.select("doc_id", F.explode("tokens").alias("t")).groupBy("t", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
-    df = postings.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    df = documents.select(F.explode(F.array_distinct("tokens")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     sizes = documents.select("doc_id", F.size("tokens").cast("double").alias("dl"))
     corpus = sizes.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"))  # one row
     raw = df.join(F.broadcast(corpus)).withColumn("raw", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     mean = raw.agg(F.avg("raw").alias("mean"))  # one row
     idf = raw.join(F.broadcast(mean)).select("t", "avgdl", F.when(F.col("raw") < 0, F.col("mean") * epsilon).otherwise(F.col("raw")).alias("idf"))
     asked = queries.select("qid", F.explode("tokens").alias("t")).groupBy("qid", "t").agg(F.count(F.lit(1)).alias("qf"))
-    hits = asked.join(idf, "t").join(postings, "t").join(sizes, "doc_id")
+    wanted = small(asked.select("t").distinct())
+    held = documents.select("doc_id", F.size("tokens").cast("double").alias("dl"), F.explode("tokens").alias("t")).join(wanted, "t", "left_semi")
+    postings = held.groupBy("t", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    hits = postings.join(asked.join(idf, "t"), "t")
     part = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy("qid", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
     # the k first documents of all that a query doesn't hit: the k + (hits) first by id hold them
