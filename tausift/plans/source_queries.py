@@ -108,7 +108,7 @@ def ols_p_values(spark: SparkSession, d: str) -> DataFrame:
     """Per slice: the p-value of the slope of gap on size, from its correlation."""
     fit = ols_gap(spark, d).filter("n > 2")
     free = F.col("n") - 2
-    t = F.sqrt(F.col("r2") * free / (1 - F.col("r2")))
+    t = F.sqrt(F.try_divide(F.col("r2") * free, 1 - F.col("r2")))
     return fit.select("slice", "n", "slope", student_p(t, free.cast("double")).alias("p"))
 
 
