@@ -80,6 +80,7 @@ _JSON = re.compile(r'\s*\{\s*"(\w+)"\s*:\s*"(.*)"\s*\}\s*$', re.DOTALL)
 _JSON_OPEN = re.compile(r'\s*\{\s*"\w+"\s*:\s*"?')
 _PAIRS = {"(": ")", "[": "]", "{": "}", "「": "」", "『": "』", "（": "）", "【": "】", "《": "》", "«": "»", "“": "”", "〔": "〕"}
 _CLOSERS = {c: o for o, c in _PAIRS.items()}
+_OPENER = re.compile("[" + re.escape("".join(_PAIRS)) + '<"]|```|[*][*]')
 _MARKER = re.compile(r"(?:[-*•・‣]|\(?\d{1,3}[.)）、．]|[①-⑳])")
 _ITEM = re.compile(rf"^\s*{_MARKER.pattern}\s*(.*)$")
 _CITATION = re.compile(r"\s*(?:\[\d+\]|[(（\[][^()（）\[\]]{1,120}[)）\]])\s*$")
@@ -122,6 +123,8 @@ def open_structures(text: str) -> list[str]:
     word and at a blank or bracket; apostrophes are no quotes.
     """
     stack: list[str] = []
+    if not _OPENER.search(text):
+        return stack
     k, n = 0, len(text)
     while k < n:
         c = text[k]
@@ -444,14 +447,14 @@ def pair_defects(df: DataFrame, key: str, question: str, fields: list[str], kind
     sent = df.sparkSession.sparkContext.broadcast(wanted)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        want, beginnings = sent.value, {}
+        want, beginnings, last_words = sent.value, {}, {}
         for batch in batches:
             ends: Counter[int] = Counter()
             mids: Counter[int] = Counter()
             for texts, more in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for text in [*texts, *more]:
                     if text:
-                        _count_contexts(text, want, ends, mids, beginnings)
+                        _count_contexts(text, want, ends, mids, beginnings, last_words)
             hashes = list({*ends, *mids})
             yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array([ends[h] for h in hashes], pa.int64()), pa.array([mids[h] for h in hashes], pa.int64())], names=["h", "ends", "mids"])
 
@@ -468,9 +471,11 @@ def pair_defects(df: DataFrame, key: str, question: str, fields: list[str], kind
     return judged.filter("defect is not null").select("k", "field_name", "defect").unionByName(stopped).withColumnRenamed("k", key)
 
 
-def _count_contexts(text: str, want: set[int], ends: Counter[int], mids: Counter[int], beginnings: dict[str, list[int]]) -> None:
+def _count_contexts(text: str, want: set[int], ends: Counter[int], mids: Counter[int], beginnings: dict[str, list[int]], last_words: dict[str, bool]) -> None:
     """Adds, for every context of `want` in the text, whether a sentence or the text ends behind it, and every
-    beginning of a word. beginnings: what is known of words so far."""
+    beginning of a word. beginnings, last_words: what is known of words so far."""
+    if len(last_words) > 100_000:
+        last_words.clear()
     words = skeleton(_strip_citations(bare(text)))
     start = 0
     for w in words:
@@ -485,6 +490,11 @@ def _count_contexts(text: str, want: set[int], ends: Counter[int], mids: Counter
         if words[k] == ".":
             start = k + 1
             continue
+        # every wanted context ends on a wanted last word
+        if words[k] not in last_words:
+            last_words[words[k]] = _hash([words[k]]) % _BITS in want
+        if not last_words[words[k]]:
+            continue
         sentence = ["^", *words[start : k + 1]] if k - start < CONTEXTS[0] else words[k + 1 - CONTEXTS[0] : k + 1]
         last = k + 1 == len(words) or words[k + 1] == "."
         done = 0
