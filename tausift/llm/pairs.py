@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tausift.llm.tokens import tokens
+from tausift.llm.tokens import tokens, visible
 from tausift.runtime import cut, small
 
 # ---- fixed values: words and marks of the languages that are read ----
@@ -73,7 +73,6 @@ _MISSING = re.compile(
 )
 
 # ---- marks ----
-_INVISIBLE = dict.fromkeys([*range(0x200B, 0x2010), 0x2060, 0xFEFF, 0xAD])
 _TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)[^<>]*?(/?)>")
 _ENTITY = re.compile(r"&(?:nbsp|amp|lt|gt|quot|#\d+|#x[0-9a-f]+);", re.IGNORECASE)
 _JSON = re.compile(r'\s*\{\s*"(\w+)"\s*:\s*"(.*)"\s*\}\s*$', re.DOTALL)
@@ -94,7 +93,7 @@ _LATIN_UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 
 def bare(text: str) -> str:
     """text without invisible characters, tags, entities and emphasis marks, trimmed; a JSON object of one string gives the string."""
-    text = text.translate(_INVISIBLE)
+    text = visible(text)
     wrapped = _JSON.match(text)
     if wrapped:
         try:
@@ -112,8 +111,7 @@ def is_empty(text: str | None) -> bool:
     if text is None:
         return True
     rest = bare(text)
-    letters = "".join(c for c in rest if c.isalnum())
-    return not letters or " ".join(rest.lower().strip(" .。-–—*\"'`()[]<>{}।").split()) in NO_VALUE
+    return not any(map(str.isalnum, rest)) or " ".join(rest.lower().strip(" .。-–—*\"'`()[]<>{}।").split()) in NO_VALUE
 
 
 def open_structures(text: str) -> list[str]:
@@ -374,7 +372,7 @@ def structure_defect(text: str | None, question: str, kind: str | None) -> str |
         return None if unanswerable else "refusal"
     if is_wrong_language(text, question):
         return "wrong_language"
-    plain = text.translate(_INVISIBLE)
+    plain = visible(text)
     if open_structures(plain) or list_incomplete(plain):
         return "truncated"
     rest = bare(text)

@@ -14,6 +14,14 @@ _TAG = re.compile(r"</?[a-zA-Z][^>\n]*>")
 _TOKEN = re.compile(r"\d+|[ァ-ヺー]+|[぀-ゟ㐀-鿿豈-﫿々〇]|[가-힣]+|(?:[^\W\d_]|[̀-ͯऀ-ॣॱ-ॿ])+")
 
 
+_UNSEEN = re.compile("[\u200b-\u200f\u2060\ufeff\xad]+")
+
+
+def visible(text: str) -> str:
+    """text without invisible characters."""
+    return _UNSEEN.sub("", text)
+
+
 def normal(text: str) -> str:
     """text in NFKC and lower case, without invisible characters, emphasis marks, inline tags and blanks between characters
     of scripts that have none between words; digits are ASCII."""
