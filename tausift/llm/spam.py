@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tausift.llm.pairs import FUNCTION_WORDS
+from tausift.llm.tokens import visible
 
 #: Share of a page's characters (blanks don't count) that spam shapes must hold, and how many shapes may hold it.
 MORE_THAN, FEW_SHAPES = 0.5, 8
@@ -27,7 +28,6 @@ PROSE = 0.28
 LEAST_LINES = 3
 
 _FUNCTION_WORDS = frozenset(w for words in FUNCTION_WORDS.values() for w in words)
-_INVISIBLE = dict.fromkeys([*range(0x200B, 0x2010), 0x2060, 0xFEFF, 0xAD])
 _LINES = re.compile(r"\r\n|[\r\n\x85  ]")
 _ANCHOR = re.compile(r"<a\s[^>]*>(.*?)</a>", re.IGNORECASE)
 _TAG = re.compile(r"</?[a-zA-Z][^>]*>|&nbsp;")
@@ -130,7 +130,7 @@ def spam_share(text: str) -> tuple[float, list[str]]:
     total = 0
     chars: Counter[tuple[str, str]] = Counter()
     lines: defaultdict[tuple[str, str], list[str]] = defaultdict(list)
-    shaped = [(line_shape(line), line) for line in _LINES.split(text.translate(_INVISIBLE))]
+    shaped = [(line_shape(line), line) for line in _LINES.split(visible(text))]
     _wrapped_prose(shaped)
     for shape, line in shaped:
         size = len("".join(line.split()))
