@@ -227,8 +227,12 @@ def is_copied(text: str, question: str) -> bool:
     """Whether the text is the question, once or more, and nothing but labels besides."""
     rest = bare(text)
     a, q = tokens(rest), tokens(question)
-    if not a or not q or len(a) > 8 * len(q) + 40:
+    if not a or not q:
         return False
+    if len(a) > 8 * len(q) + 40:  # too long for tiling, which is quadratic: whole copies are taken out, and labels must be left
+        whole = "\x1f" + "\x1f".join(q)
+        left = ("\x1f" + "\x1f".join(a)).replace(whole, "").split("\x1f")[1:]
+        return len(left) * 5 < len(a) and all(w in LABELS for w in left)
     vocabulary = set(q)
     if sum(w in vocabulary for w in a) < 0.5 * len(a):
         return False

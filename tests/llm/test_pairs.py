@@ -32,12 +32,12 @@ def test_lists_that_hold(t):
     assert not list_incomplete(t)
 
 
-@pytest.mark.parametrize("t", [IT, IT.upper(), f"Domanda: {IT}", f"<p>{IT}</p>", f'{{"content": "{IT}"}}', f"{IT}\n{IT}", IT.replace(" ", "  "), IT[:-1]])
+@pytest.mark.parametrize("t", [IT, IT.upper(), f"Domanda: {IT}", f"<p>{IT}</p>", f'{{"content": "{IT}"}}', f"{IT}\n{IT}", IT.replace(" ", "  "), IT[:-1], f"{IT} " * 400])
 def test_copied(t):
     assert is_copied(t, IT)
 
 
-@pytest.mark.parametrize("t,q", [(f"{IT} 9 milioni", IT), ("Nel 2024 Banca Zerta ha fatturato 9 milioni.", IT), (f"「{JA[:-1]}」について、", JA), (f"「{JA[:-1]}」について、7億円", JA), ("7億円", JA), ("", IT)])
+@pytest.mark.parametrize("t,q", [(f"{IT} 9 milioni", IT), ("Nel 2024 Banca Zerta ha fatturato 9 milioni.", IT), (f"「{JA[:-1]}」について、", JA), (f"「{JA[:-1]}」について、7億円", JA), ("7億円", JA), ("", IT), (f"{IT} " * 400 + "Sono 9 milioni.", IT)])
 def test_not_copied(t, q):
     assert not is_copied(t, q)
 
