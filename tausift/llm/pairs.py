@@ -414,8 +414,8 @@ def pair_defects(df: DataFrame, key: str, question: str, fields: list[str], kind
     that the information is missing are right. at: of several rows with one key the latest counts (a null time is the
     oldest). learn: further columns (text, or arrays of text) whose sentences show how sentences end. Rows with a null key
     are left out, a null question is an empty one; an empty table gives an empty result; other columns are ignored.
-    A text that ends without a mark is truncated if, of all places where its last words stand, few end a sentence; the
-    longest context with CONTEXT_ROWS further occurrences decides, and one that occurs nowhere else is truncated unless it
+    A text that ends without a mark is truncated if, of all places where its last words stand, few end a sentence (equal
+    texts count once); the longest context with CONTEXT_ROWS further occurrences decides, and one that occurs nowhere else is truncated unless it
     is a short phrase.
     """
     learn = learn or []
@@ -453,14 +453,14 @@ def pair_defects(df: DataFrame, key: str, question: str, fields: list[str], kind
         for batch in batches:
             ends: Counter[int] = Counter()
             mids: Counter[int] = Counter()
-            for texts, more in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for text in [*texts, *more]:
-                    if text:
-                        _count_contexts(text, want, ends, mids, beginnings, last_words)
+            for text in batch.column(0).to_pylist():
+                _count_contexts(text, want, ends, mids, beginnings, last_words)
             hashes = list({*ends, *mids})
             yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array([ends[h] for h in hashes], pa.int64()), pa.array([mids[h] for h in hashes], pa.int64())], names=["h", "ends", "mids"])
 
-    counts = rows.select("x", "l").mapInArrow(count, "h long, ends long, mids long").groupBy("h").agg(F.sum("ends").alias("ends"), F.sum("mids").alias("mids"))
+    # a text that stands under several keys or in several fields shows once how its sentences end
+    different = rows.select(F.explode(F.concat("x", "l")).alias("text")).filter("text <> ''").distinct()
+    counts = different.mapInArrow(count, "h long, ends long, mids long").groupBy("h").agg(F.sum("ends").alias("ends"), F.sum("mids").alias("mids"))
     known = tails.join(small(cut(counts)), "h", "left").withColumns({"ends": F.coalesce("ends", F.lit(0)) - 1, "mids": F.coalesce("mids", F.lit(0))})
     seen = (F.col("ends") + F.col("mids") >= CONTEXT_ROWS) & (F.col("level") < PREFIX_LEVEL)
     best = known.groupBy("k", "field_name").agg(

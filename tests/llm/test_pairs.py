@@ -105,3 +105,12 @@ def test_table(spark):
     got = {(r.query_id, r.field_name): r.defect for r in pair_defects(df, "query_id", "question", ["answer", "generated_answer"], "query_type", "written_at", ["refs"]).collect()}
     assert got == {("cut", "answer"): "truncated", ("cut", "generated_answer"): "truncated", ("open", "generated_answer"): "truncated", ("none", "answer"): "empty", ("none", "generated_answer"): "empty"}
     assert pair_defects(df.limit(0), "query_id", "question", ["answer"], "query_type", "written_at").count() == 0
+
+
+def test_copies_of_a_cut_text_are_no_evidence(spark):
+    t = dt.datetime(2024, 1, 1)
+    rows = [(f"q{k}", IT, f"Il consiglio ha respinto la proposta di Banca Zerta{k} nel {k}.", "factual", t) for k in range(20)]
+    rows += [(f"cut{k}", IT, "La corte di Roma ha poi deciso che il consiglio ha respinto", "factual", t) for k in range(30)]
+    df = spark.createDataFrame(rows, "query_id string, question string, answer string, query_type string, written_at timestamp")
+    got = {r.query_id: r.defect for r in pair_defects(df, "query_id", "question", ["answer"], "query_type", "written_at").collect()}
+    assert got == {f"cut{k}": "truncated" for k in range(30)}
