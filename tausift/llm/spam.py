@@ -1,8 +1,8 @@
 """Pages made of keywords, links or tags instead of sentences.
 
 Every line is reduced to a shape: its words in a few bands, its share of capitals, its separators, its links and its end.
-The lines of a page are grouped by shape; a page is spam if few shapes that are no sentences hold more than half of its
-text. A text is looked at where it lies, so nothing is shuffled.
+The lines of a page are grouped by shape; a page is spam if the shapes of links, tags and keywords together hold more than half
+of its text. A text is looked at where it lies, so nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from tausift.llm.pairs import FUNCTION_WORDS
 from tausift.llm.tokens import visible
 
-#: Share of a page's characters (blanks don't count) that spam shapes must hold, and how many shapes may hold it.
-MORE_THAN, FEW_SHAPES = 0.5, 8
+#: Share of a page's characters (blanks don't count) that spam shapes must hold.
+MORE_THAN = 0.5
 #: Plain words without separators count as keywords if this share of them repeats words of the same page's keyword lines.
 REPEATED = 0.4
 #: Share of function words from which lines of plain words are wrapped sentences.
@@ -150,7 +150,7 @@ def spam_share(text: str) -> tuple[float, list[str]]:
     for (kind, _), group in lines.items():
         of_kind[kind] += sum(max(1, _entries(kind, line)) if kind == "tags" and len(group) < LEAST_LINES else _entries(kind, line) if kind == "links" else 1 for line in group)
     spam = [s for s in lines if (s[0] == "words" and keywords) or (s[0] != "words" and of_kind[s[0]] >= LEAST_LINES)]
-    spam = sorted(spam, key=lambda s: (-chars[s], s))[:FEW_SHAPES]
+    spam = sorted(spam, key=lambda s: (-chars[s], s))
     return sum(chars[s] for s in spam) / total, [s[1] for s in spam]
 
 

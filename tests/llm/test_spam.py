@@ -50,6 +50,13 @@ def test_shapes():
     assert line_shape("कंपनी पर ऋण है।")[0] == "sentence"
 
 
+def test_tags_of_many_shapes():
+    words = "insurance loan retail offer price credit broker fund mortgage".split()
+    lists = [mark.join(words[:n]) for n in range(3, 10) for mark in (", ", " | ", " / ", " · ")]
+    share, shapes = spam_share("\n".join([SENTENCE] * 6 + lists))
+    assert share > 0.6 and len(shapes) == 28
+
+
 def test_long_page_is_read_whole():
     assert spam_share(SENTENCE * 50 + "\n" + "\n".join(f"https://a{k}.example/x/{k}" for k in range(4000)))[0] > 0.9
 
