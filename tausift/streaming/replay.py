@@ -46,13 +46,17 @@ def latest_per_key(spark: SparkSession, stream: DataFrame, keys: list[str], orde
     return spark.read.parquet(f"{base}/v={number}") if number >= 0 else spark.createDataFrame([], stream.schema)
 
 
-def windowed_totals(spark: SparkSession, stream: DataFrame, at: str, group: str, value: str, width: str = "1 day", late: str = "2 days") -> DataFrame:
-    """(start, group, n, total) per time window of a bounded stream; rows later than `late` behind the newest are dropped.
+def windowed_totals(spark: SparkSession, stream: DataFrame, at: str, group: str, value: str, width: str = "1 day", late: str | None = None) -> DataFrame:
+    """(start, group, n, total) per time window of a bounded stream.
+
+    Every row counts, in whatever order the files come; the windows' state is then kept to the end. With `late`, windows that
+    ended longer than that before the newest time of earlier batches are closed, and their rows are dropped.
 
     Every batch writes the windows it changed; the last version of each window counts.
     """
     base = f"{shared_dir(spark)}/windows-{uuid.uuid4().hex}"
-    totals = stream.withWatermark(at, late).groupBy(F.window(at, width).alias("w"), group).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
+    timed = stream.withWatermark(at, late) if late else stream
+    totals = timed.groupBy(F.window(at, width).alias("w"), group).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
     flat = totals.select(F.col("w.start").alias("start"), group, "n", "total")
 
     def write(batch: DataFrame, number: int) -> None:
