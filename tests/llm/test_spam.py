@@ -20,6 +20,19 @@ SENTENCE = "The auditor qualified its opinion on how inventories were valued."
         " · ".join(["公式通販", "副業", "比較"] * 8),
         " ".join(f'<a href="https://x.example/{k}">offer</a>' for k in range(8)),
         SENTENCE + "\n" + "\n".join(f"https://a{k}.example/x/{k}" for k in range(9)),
+        "offers in Zerta: offers and offers discount for offers with offers. " * 6,
+        "appropriazione indebita a Tabo: appropriazione indebita, appropriazione\nindebita mufe e appropriazione indebita per\nappropriazione indebita. " * 4,
+        "なら不動産、ヴェルオムの不動産は不動産の不動産へ。不動産クーポンで不動産。" * 5,
+        "बीमा के लिए बीमा, मुवो में बीमा बीमा बीमा यहाँ बीमा। " * 5,
+        "Cheap loans best loans online loans compare cheap loans fast loans free loans discount loans online.",
+        "Cheap loans.\nBest loans.\nFast loans.\nCheap credit.\nBest credit.\nFast credit.",
+        "Cheap loans:\nBest loans:\nFast loans:\nCheap credit:\nBest credit:\nFast credit:",
+        "loans, cheap loans, best loans, credit, cheap credit, best credit, loans online.",
+        "不動産 保険 格安ローン 無料査定。\n保険 不動産 無料査定 比較。\n格安ローン 保険 比較 不動産。",
+        "\n".join("#loans #cheap #fast #credit #offer Get it now." for _ in range(5)),
+        "\n".join(f"{k}. https://a{k}.example/x/{k}" for k in range(1, 9)),
+        "\n".join(f"[{k}] https://a{k}.example/x/{k}" for k in range(1, 9)),
+        "\n".join(f"best-loans{k}.example.com" for k in range(8)),
     ],
 )
 def test_spam(page):
