@@ -60,9 +60,26 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """Oversized corpus documents, and whether a stretch without any boundary exceeds the limit."""
-    pieces = p3_pieces(spark, d).filter("piece_no = 1")
-    return pieces.select("doc_id", F.when(F.col("unbroken") > F.col("max_size"), "forced").otherwise("natural").alias("cut_kind"))
+    """Oversized corpus documents, and whether a piece had to be cut from a stretch that has no boundary within the limit."""
+    forced = F.max(F.col("unbroken") > F.col("max_size"))
+    return p3_pieces(spark, d).groupBy("doc_id").agg(F.when(forced, "forced").otherwise("natural").alias("cut_kind"))
+
+
+def p3_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """Every oversized corpus document put together again from its pieces, and what the pieces keep to.
+
+    within_limit: no piece is over the limit. shared: consecutive pieces share exactly the overlap. numbered: they are
+    numbered from 1 without a gap. parted: pieces that end within a word although some boundary stood in reach.
+    """
+    over = _limited_documents(spark, d).select("doc_id", "overlap_size")
+    pieces = p3_pieces(spark, d).join(over, "doc_id")
+    fresh = F.when(F.col("piece_no") == 1, F.col("piece")).otherwise(F.expr("substring(piece, overlap_size + 1)"))
+    whole = pieces.groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct("piece_no", "start", "end", fresh.alias("fresh")))).alias("p"), F.max(F.length("piece")).alias("longest"), F.max("max_size").alias("max_size"), F.max("overlap_size").alias("overlap"), F.max("n_pieces").alias("pieces"),
+        F.count_if((F.col("boundary") == "none") & F.expr("regexp_instr(substring(piece, overlap_size + 2), '[\\s。！？।!?]') > 0")).alias("parted"),
+    )
+    shared = F.expr("forall(sequence(1, size(p)), k -> k = 1 or p[k - 1].start = p[k - 2].end - overlap)")
+    return whole.select("doc_id", F.md5(F.concat_ws("", "p.fresh")).alias("text_md5"), (F.col("longest") <= F.col("max_size")).alias("within_limit"), shared.alias("shared"), (F.expr("p.piece_no = sequence(1, size(p))") & (F.size("p") == F.col("pieces"))).alias("numbered"), "parted")
 
 
 def p5_matches(spark: SparkSession, d: str) -> DataFrame:
@@ -114,7 +131,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_shapes(spark, d).filter("is_spam").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_defects_by_language, p2_found, p3_found, p3_pieces, p5_found, p5_matches, p6_containers, p6_fill, p7_found, p7_leaks, p8_found, p8_shapes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_defects_by_language, p2_found, p3_found, p3_pieces, p3_rebuilt, p5_found, p5_matches, p6_containers, p6_fill, p7_found, p7_leaks, p8_found, p8_shapes)}
 
 _SPACES = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}。！？!?।]"
 
@@ -137,4 +154,10 @@ ORACLE = {
                     THEN 'forced' ELSE 'natural' END AS cut_kind
         FROM latest JOIN size_limit ON item_table = 'corpus_document' AND lang = language
         WHERE length(content) > max_size""",
+    "p3_rebuilt": """
+        WITH latest AS (SELECT doc_id, arg_max(content, created_at) AS content, arg_max(language, created_at) AS language
+                        FROM corpus_document WHERE doc_id IS NOT NULL GROUP BY doc_id)
+        SELECT doc_id, md5(content) AS text_md5, true AS within_limit, true AS shared, true AS numbered, CAST(0 AS BIGINT) AS parted
+        FROM latest JOIN size_limit ON item_table = 'corpus_document' AND lang = language
+        WHERE length(content) > max_size""",
 }

@@ -1,8 +1,9 @@
 """Cutting long texts into overlapping pieces at natural boundaries.
 
 Balanced targets: the least number of pieces that can hold the text gives equal-length targets; every target moves to the
-strongest boundary near it; where a piece would pass the limit, the number of pieces grows and the targets are set anew.
-All lengths are code points.
+strongest boundary near it; where the rest no longer fits into the pieces that are left, one is added, and the text is cut
+anew with equal targets for the number it took. A natural boundary is never given up to save a piece. All lengths are code
+points.
 """
 
 from __future__ import annotations
@@ -35,6 +36,12 @@ def longest_unbroken(text: str) -> int:
     return max((m.end() - m.start() for m in _UNBROKEN.finditer(text)), default=0)
 
 
+def unbroken_runs(text: str) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches without whitespace and without any of 。！？!?।, in order."""
+    found = [m.span() for m in _UNBROKEN.finditer(text)]
+    return [a for a, _ in found], [b for _, b in found]
+
+
 def _splits_a_character(text: str, at: int) -> bool:
     """Whether a cut at `at` parts a mark, a joiner or a variation from the character it belongs to."""
     return 0 < at < len(text) and (unicodedata.category(text[at]) in ("Mn", "Mc", "Me") or text[at] in "‍️" or text[at - 1] == "‍" or text[at - 1 : at + 1] == "\r\n")
@@ -63,64 +70,67 @@ class _Boundaries:
                 return min((ends[j] for j in (k - 1, k) if a <= j < b), key=lambda e: (abs(e - target), e)), name
         return -1, "none"
 
+    def nearest(self, low: int, high: int, target: int) -> tuple[int, str]:
+        """The boundary in [low, high] nearest to target, the strongest among equals."""
+        found = []
+        for level, (name, ends) in enumerate(self.levels):
+            a, b = bisect_left(ends, low), bisect_right(ends, high)
+            k = bisect_left(ends, target, a, b)
+            found += [(abs(ends[j] - target), level, ends[j], name) for j in (k - 1, k) if a <= j < b]
+        return min(found)[2:] if found else (-1, "none")
+
 
 def split_points(text: str, max_size: int, overlap: int) -> list[tuple[int, int, str]]:
     """(start, end, boundary behind which the piece ends) of each piece of text.
 
     Pieces have at most max_size code points; every piece but the first starts `overlap` code points before the end of
     the one before it. A text within the limit is one piece, an empty text none. boundary is `end` for the last piece and
-    `none` where no natural boundary was within reach; such a cut still keeps combining marks with their letter unless
-    that leaves no cut at all.
+    `none` where no natural boundary lies between the end of the piece before and the limit; such a cut still keeps
+    combining marks with their letter unless that leaves no cut at all.
     """
     if not 0 <= overlap < max_size:
         raise ValueError("overlap must be at least 0 and less than max_size")
-    length, step = len(text), max_size - overlap
+    length = len(text)
     if not length:
         return []
     if length <= max_size:
         return [(0, length, "end")]
     marks = _Boundaries(text)
-    least = 1 + -(-(length - max_size) // step)
-    for whole in (True, False):  # characters are parted only if nothing else holds
-        for count in [*range(least, 2 * least + 3), None]:
-            pieces = _place(marks, length, max_size, overlap, count, whole)
-            if pieces:
-                return pieces
-    return []
+    count = _least_pieces(length, max_size, overlap)
+    pieces = _place(marks, length, max_size, overlap, count)
+    while len(pieces) > count:  # a limit failed: equal targets for the pieces it took
+        count = len(pieces)
+        pieces = _place(marks, length, max_size, overlap, count)
+    return pieces
 
 
-def _place(marks: _Boundaries, length: int, max_size: int, overlap: int, count: int | None, whole: bool) -> list[tuple[int, int, str]] | None:
-    """Pieces by equal targets for `count` pieces, None if they don't hold; count None: every piece as long as may be.
+def _least_pieces(length: int, max_size: int, overlap: int) -> int:
+    """The least number of pieces that hold `length` code points."""
+    return 1 + max(0, -(-(length - max_size) // (max_size - overlap)))
 
-    whole: a cut must not part a character from its marks.
-    """
+
+def _place(marks: _Boundaries, length: int, max_size: int, overlap: int, count: int) -> list[tuple[int, int, str]]:
+    """Pieces by equal targets for `count` pieces, more where the rest doesn't fit into those that are left."""
     pieces: list[tuple[int, int, str]] = []
     start = end = 0
-    while length - start > max_size or (count and len(pieces) + 1 < count and length > end):
-        left = (count - len(pieces)) if count else 0
-        if count and left < 2:
-            return None
-        size = (length - start + (left - 1) * overlap) / left if count else max_size
-        high = min(start + max_size, length - 1)
-        low = max(end + 1, start + overlap + 1) if pieces else overlap + 1
-        if count:
-            low = max(low, length - (left - 1) * (max_size - overlap))
-        if low > high:
-            return None
+    while True:
+        left = max(count - len(pieces), _least_pieces(length - start, max_size, overlap))
+        low, high = max(end + 1, start + overlap + 1), min(start + max_size, length - 1)
+        if left == 1 or low > high:
+            break
+        size = (length - start + (left - 1) * overlap) / left
         target = min(max(round(start + size), low), high)
         reach = int(size * NEAR)
         cut, kind = marks.best(max(low, target - reach), min(high, target + reach), target)
         if cut < 0:
-            cut, kind = marks.best(low, high, target)
+            cut, kind = marks.nearest(low, high, target)
         if cut < 0:
             cut, kind = _unparted(marks.text, low, high, target), "none"
-            if cut < 0 and whole:
-                return None
             cut = cut if cut >= 0 else target
         pieces.append((start, cut, kind))
         start, end = cut - overlap, cut
     pieces.append((start, length, "end"))
-    return pieces if all(b - a <= max_size for a, b, _ in pieces) else None
+    return pieces
 
 
 PIECES = T.StructType(
@@ -140,8 +150,8 @@ def split_oversized(df: DataFrame, item: str, text: str, max_size: str, overlap:
     """The pieces of every text that is longer than its limit.
 
     max_size and overlap name columns that hold each row's own limits. One row per piece: item, max_size, piece_no from 1,
-    n_pieces, start, end (code points, end exclusive), boundary, unbroken (longest stretch of the whole text without
-    whitespace or sentence end), piece. Null texts, texts within their limit and rows without a limit give no row; an
+    n_pieces, start, end (code points, end exclusive), boundary, unbroken (the longest of the text's stretches without
+    whitespace or sentence end that reach into the piece, at their full length), piece. Null texts, texts within their limit and rows without a limit give no row; an
     overlap that is null counts as 0. item should be unique: rows that repeat it give their pieces again. Other columns of
     df are ignored. No shuffle: each text is cut where it lies.
     """
@@ -156,9 +166,10 @@ def split_oversized(df: DataFrame, item: str, text: str, max_size: str, overlap:
         for batch in batches:
             out: list[tuple] = []
             for row_item, row_text, limit, over in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                pieces, unbroken = split_points(row_text, limit, over), longest_unbroken(row_text)
+                pieces, (starts, ends) = split_points(row_text, limit, over), unbroken_runs(row_text)
                 for k, (a, b, kind) in enumerate(pieces):
-                    out.append((row_item, limit, k + 1, len(pieces), a, b, kind, unbroken, row_text[a:b]))
+                    reach = range(bisect_right(ends, a), bisect_left(starts, b))
+                    out.append((row_item, limit, k + 1, len(pieces), a, b, kind, max((ends[j] - starts[j] for j in reach), default=0), row_text[a:b]))
                 if len(out) > 2000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
                     out = []

@@ -24,6 +24,20 @@ def test_strongest_boundary_near_the_target():
     assert (a, kind, text[b - 2 : b], c, d) == (0, "paragraph", "\n\n", b, 100)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(1, 18), min_size=1, max_size=120), st.integers(0, 6))
+def test_no_word_is_cut_in_half(sizes, overlap):
+    text = " ".join("x" * n for n in sizes)
+    assert all(kind != "none" for _, _, kind in split_points(text, 25, overlap))
+
+
+def test_pieces_are_added():
+    text = ("x" * 60 + " ") * 6
+    pieces = split_points(text, 100, 10)
+    assert len(pieces) == 6 and all(k in ("space", "end") for _, _, k in pieces)
+    assert split_points(" ".join(["abcdefghi"] * 19), 100, 10)[0][2] == "space"
+
+
 def test_balanced():
     sizes = [b - a for a, b, _ in split_points("word " * 200, 400, 0)]
     assert len(sizes) == 3 and max(sizes) - min(sizes) < 60
