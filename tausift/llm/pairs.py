@@ -15,13 +15,13 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tausift.llm.filters import HashFilter, hash_filter
 from tausift.llm.tokens import tokens, visible
 from tausift.runtime import cut, small
 
@@ -537,50 +537,10 @@ def needs_statistics(text: str) -> str | None:
 END_SHARE, CONTEXT_ROWS = 0.12, 4
 #: Longer words with the same beginning, for each time the last word stands elsewhere, that show a cut inside a word.
 LONGER_WORDS = 10
-#: Bits of the filter for each hash that is looked for, and bits at most: 16 MB. A fuller filter lets more through to the
-#: count, which the join then leaves out.
-FILTER_BITS, MOST_BITS = 16, 1 << 27
 #: Ends with the same hash from which they are joined apart from the rest, by broadcast of their counts.
 HOT = 50_000
 
 
-class HashFilter:
-    """A bitmap of hashes: no hash that is in it is missed."""
-
-    def __init__(self, bits: int, words: dict[int, bytes]) -> None:
-        self.mask, self.bytes = bits - 1, bytearray(bits // 8)
-        for k, part in words.items():
-            self.bytes[k * len(part) : (k + 1) * len(part)] = part
-
-    def __contains__(self, h: int) -> bool:
-        h &= self.mask
-        return bool(self.bytes[h >> 3] >> (h & 7) & 1)
-
-
-def hash_filter(hashes: DataFrame) -> HashFilter:
-    """The filter of a long column `h`, put together in parts of 8 KB where the rows lie; its size is bounded by MOST_BITS."""
-    count = hashes.agg(F.approx_count_distinct("h")).first()[0]
-    bits = min(MOST_BITS, max(1 << 16, 1 << (FILTER_BITS * count).bit_length()))
-    part = 1 << 16
-
-    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = np.zeros(bits, bool)
-        for batch in batches:
-            whole[batch.column(0).to_numpy() & (bits - 1)] = True
-        parts = [k for k in range(bits // part) if whole[k * part : (k + 1) * part].any()]
-        packed = [np.packbits(whole[k * part : (k + 1) * part], bitorder="little").tobytes() for k in parts]
-        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(packed, pa.binary())], names=["k", "b"])
-
-    def merge(key: tuple, rows: pa.Table) -> pa.Table:
-        out = np.zeros(part // 8, np.uint8)
-        for b in rows.column("b").to_pylist():
-            out |= np.frombuffer(b, np.uint8)
-        return pa.table({"k": pa.array([key[0].as_py()], pa.int32()), "b": pa.array([out.tobytes()], pa.binary())})
-
-    parts = hashes.select("h").mapInArrow(gather, "k int, b binary").groupBy("k").applyInArrow(merge, "k int, b binary")
-    return HashFilter(bits, {r.k: bytes(r.b) for r in parts.collect()})
-
-
 def pair_defects(df: DataFrame, key: str, question: str, fields: list[str], kind: str, at: str, learn: list[str] | None = None) -> DataFrame:
     """(key, field_name, defect): one row per key and defective field.
 
