@@ -1,7 +1,7 @@
 import datetime as dt
 import json
 
-from tausift.operators.drift import changes_between, consistent_scores, enforce, first_names, ingest_rescued, previous_row, schema_changes
+from tausift.operators.drift import changes_between, consistent_scores, enforce, field_profiles, first_names, ingest_rescued, previous_row, schema_changes
 from tausift.sources.exports import kind_of, leading_number, parse_export, same_value
 
 SCHEMA = "file_id long, board string, exported_at timestamp, payload string, extra string, g string"
@@ -63,11 +63,31 @@ def test_consistent_table(spark):
     df = files(spark, [(1, "p", 1, "Model,x\nm,1\nn,2\n"), (2, "p", 2, "Model,y\nm,1.0 pts\nn,2.0 pts\n"), (3, "p", 3, "Model,z\nm,1\nn,—\n")])
     got = sorted((r.file_id, r.model, r.field, r.written_field, r.score) for r in consistent_scores(df).collect())
     assert got == [(1, "m", "x", "x", 1.0), (1, "n", "x", "x", 2.0), (2, "m", "x", "y", 1.0), (2, "n", "x", "y", 2.0), (3, "m", "x", "z", 1.0)]
-    names = {(r.field, r.first_field) for r in first_names(schema_changes(df), df).collect()}
+    names = {(r.field, r.first_field) for r in first_names(schema_changes(df), field_profiles(df)).collect()}
     assert names == {("x", "x"), ("y", "x"), ("z", "x")}
     assert consistent_scores(files(spark, [])).count() == 0
 
 
+def test_no_cell_is_lost(spark):
+    df = files(spark, [(1, "p", 1, "Model,x,note\nm,1,m\nn,2,fast\nk,v1,3\n"), (2, "p", 2, "Model,x,note,w\nm,1,m,7\nn,2,slow,8 pts\nk,9,z,\n")])
+    got = sorted((r.file_id, r.model, r.field, r.score, r.text, r.rescued) for r in consistent_scores(df).collect())
+    assert got == [
+        (1, "k", "note", 3.0, None, None), (1, "k", "x", None, "v1", None), (1, "m", "note", None, "m", None), (1, "m", "x", 1.0, None, None), (1, "n", "note", None, "fast", None), (1, "n", "x", 2.0, None, None),
+        (2, "k", "note", None, "z", None), (2, "k", "x", 9.0, None, None), (2, "m", "note", None, "m", None), (2, "m", "w", 7.0, None, None), (2, "m", "x", 1.0, None, None), (2, "n", "note", None, "slow", None), (2, "n", "w", 8.0, None, None), (2, "n", "x", 2.0, None, None),
+    ]
+
+
+def test_added_fields_are_promoted(spark):
+    df = files(spark, [(1, "p", 1, "Model,b\nm,1\nn,2\n"), (2, "p", 2, "Model,b,c\nm,1,70\nn,2,80\n"), (3, "p", 3, "Model,a,c\nm,1,70 pts\nn,2,80\n")])
+    got = sorted((r.file_id, r.model, r.field, r.score, r.rescued) for r in consistent_scores(df).collect())
+    assert got == [(1, "m", "b", 1.0, None), (1, "n", "b", 2.0, None), (2, "m", "b", 1.0, None), (2, "m", "c", 70.0, None), (2, "n", "b", 2.0, None), (2, "n", "c", 80.0, None), (3, "m", "b", 1.0, "1"), (3, "m", "c", 70.0, "70 pts"), (3, "n", "b", 2.0, "2"), (3, "n", "c", 80.0, None)]
+
+
+def test_previous_row_in_a_large_group(spark):
+    df = files(spark, [(k, "p", 1 + k // 30, None) for k in range(1, 90)])
+    assert sorted(tuple(r) for r in previous_row(df, "board", "exported_at", "file_id", most=10).collect()) == [(k, k - 1) for k in range(2, 90)]
+
+
 def test_ingest_without_target_rescues_all(spark):
     df = files(spark, [(1, "p", 1, "Model,x\nm,1\n")])
     target = spark.createDataFrame([], "group string, fields map<string,string>")
