@@ -9,16 +9,14 @@ from tausift.functions.text import plain_name, without_link
 from tausift.operators.agreement import inversion_rates, pair_counts, tau_b
 from tausift.operators.lookup import exact_or_unique
 from tausift.operators.order import at_positions
-from tausift.operators.resample import DRAW_SQL, bootstrap_pairs, bootstrap_rows
+from tausift.operators.resample import DRAW_SQL, bootstrap_pairs, bootstrap_rows, drawn_with_replacement, fits_arrays, replicates, rho_of
 from tausift.operators.scores import consensus_scores, ratio, row_aggregators
 from tausift.operators.stats import spearman
 from tausift.plans.base import BOARDS, FAMILY, LOCAL, SCORES, SLICES, boards, family, local_scores, scores, slices
 from tausift.plans.relational_queries import ORACLE as RELATIONAL_SQL
-from tausift.plans.relational_queries import subset_resample
+from tausift.plans.relational_queries import REPS, subset_resample
 from tausift.runtime import table
 
-REPS = 40
-
 
 def _interval(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """(group, n, low, high): 2.5th and 97.5th percentile of a value, interpolated."""
@@ -32,10 +30,23 @@ def bootstrap_inversion_ci(spark: SparkSession, d: str) -> DataFrame:
     return _interval(rates, ["slice"], "r")
 
 
+#: Valid replicates that an interval of rho needs.
+LEAST_VALID = 100
+
+
+def _drawn_rho(rep: int, c: dict, x: str, y: str) -> float | None:
+    at = drawn_with_replacement(rep, len(c[x]), 42)
+    return rho_of(c[x][at], c[y][at]) if len(at) >= 3 else None
+
+
 def bootstrap_spearman_ci(spark: SparkSession, d: str) -> DataFrame:
     """Per slice: 95 percent interval of Spearman's rho over bootstrap replicates."""
-    rows = bootstrap_rows(slices(spark, d), ["slice"], "entity", ["g", "l"], REPS)
-    return _interval(spearman(rows, ["slice", "rep"], "g", "l"), ["slice"], "rho")
+    rows = slices(spark, d)
+    if fits_arrays(rows, ["slice"]):
+        rhos = replicates(rows, ["slice"], "entity", ["g", "l"], REPS, lambda rep, c: (_drawn_rho(rep, c, "g", "l"),), "rho double")
+    else:
+        rhos = spearman(bootstrap_rows(rows, ["slice"], "entity", ["g", "l"], REPS), ["slice", "rep"], "g", "l")
+    return _interval(rhos, ["slice"], "rho").withColumns({c: F.when(F.col("n") >= LEAST_VALID, F.col(c)) for c in ("low", "high")})
 
 
 def paired_bootstrap_rho(spark: SparkSession, d: str) -> DataFrame:
@@ -45,10 +56,13 @@ def paired_bootstrap_rho(spark: SparkSession, d: str) -> DataFrame:
     """
     one = local_scores(spark, d).filter("task = 'task_mlqa'").select("entity", "slice", "s")
     rows = slices(spark, d).select("entity", "slice", "g", "l").join(one, ["entity", "slice"])
-    drawn = bootstrap_rows(rows, ["slice"], "entity", ["g", "l", "s"], REPS)
-    a = spearman(drawn, ["slice", "rep"], "g", "l", "ra").select("slice", "rep", "ra")
-    b = spearman(drawn, ["slice", "rep"], "s", "l", "rb").select("slice", "rep", "rb")
-    deltas = a.join(b, ["slice", "rep"]).select("slice", (F.col("ra") - F.col("rb")).alias("delta")).dropna()
+    if fits_arrays(rows, ["slice"]):
+        both = replicates(rows, ["slice"], "entity", ["g", "l", "s"], REPS, lambda rep, c: (_drawn_rho(rep, c, "g", "l"), _drawn_rho(rep, c, "s", "l")), "ra double, rb double")
+    else:
+        drawn = bootstrap_rows(rows, ["slice"], "entity", ["g", "l", "s"], REPS)
+        both = spearman(drawn, ["slice", "rep"], "g", "l", "ra").select("slice", "rep", "ra").join(spearman(drawn, ["slice", "rep"], "s", "l", "rb").select("slice", "rep", "rb"), ["slice", "rep"])
+    # far below any difference of two rhos; keeps equal ones equal on every engine
+    deltas = both.select("slice", F.round(F.col("ra") - F.col("rb"), 12).alias("delta")).dropna()
     tails = deltas.groupBy("slice").agg(ratio(F.count_if(F.col("delta") <= 0), F.count(F.lit(1))).alias("under"), ratio(F.count_if(F.col("delta") >= 0), F.count(F.lit(1))).alias("over"))
     return _interval(deltas, ["slice"], "delta").join(tails, "slice").select("slice", "n", "low", "high", F.least(F.lit(1.0), 2 * F.least("under", "over")).alias("p"))
 
@@ -178,7 +192,7 @@ ORACLE = {
     "bootstrap_inversion_ci": f"WITH {SLICES}, {_boot('slices', 'g, l')}, {_pairs('slice, rep', 'boot', 'k')}, t AS (SELECT slice, {_SKIP} AS t FROM gc) SELECT slice, {_CI.format('t')} FROM t GROUP BY slice",
     "bootstrap_spearman_ci": f"WITH {SLICES}, {_boot('slices', 'g, l')}, t AS ({_rho('slice, rep', 'boot', 'g', 'l', 't')}) SELECT slice, {_CI.format('t')} FROM t GROUP BY slice",
     "paired_bootstrap_rho": f"""WITH {SLICES}, {LOCAL}, x AS (SELECT entity, slice, g, l, s FROM slices JOIN (SELECT entity, slice, s FROM local_scores WHERE task = 'task_mlqa') USING (entity, slice)), {_boot('x', 'g, l, s')},
-        ra AS ({_rho('slice, rep', 'boot', 'g', 'l', 'ra')}), rb AS ({_rho('slice, rep', 'boot', 's', 'l', 'rb')}), t AS (SELECT slice, ra - rb AS t FROM (SELECT slice, rep, ra FROM ra) JOIN (SELECT slice, rep, rb FROM rb) USING (slice, rep) WHERE ra - rb IS NOT NULL)
+        ra AS ({_rho('slice, rep', 'boot', 'g', 'l', 'ra')}), rb AS ({_rho('slice, rep', 'boot', 's', 'l', 'rb')}), t AS (SELECT slice, round(ra - rb, 12) AS t FROM (SELECT slice, rep, ra FROM ra) JOIN (SELECT slice, rep, rb FROM rb) USING (slice, rep) WHERE ra - rb IS NOT NULL)
         SELECT slice, {_CI.format('t')}, least(CAST(1 AS DOUBLE), 2 * least(CAST(count(*) FILTER (t <= 0) AS DOUBLE) / CAST(count(*) AS DOUBLE), CAST(count(*) FILTER (t >= 0) AS DOUBLE) / CAST(count(*) AS DOUBLE))) AS p FROM t GROUP BY slice""",
     "alternative_aggregators": f"""WITH {SCORES}, v AS (SELECT entity, list_sort(list(s)) AS v, count(*) AS n, CAST(floor(count(*) * CAST(0.1 AS DOUBLE)) AS BIGINT) AS k FROM scores WHERE {FAMILY} = 'single' GROUP BY entity),
         a AS (SELECT entity, CAST(round(CAST(list_sum(v) AS DOUBLE) / n * 100) AS BIGINT) AS mean, CAST(v[1] * 100 AS BIGINT) AS lowest, CAST(round((v[CAST(floor((n + 1) / 2) AS BIGINT)] + v[CAST(floor(n / 2) AS BIGINT) + 1]) / CAST(2 AS DOUBLE) * 100) AS BIGINT) AS median, CAST(round(CAST(list_sum(v[k + 1 : n - k]) AS DOUBLE) / (n - 2 * k) * 100) AS BIGINT) AS trimmed FROM v),

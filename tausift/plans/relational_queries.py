@@ -10,7 +10,7 @@ from tausift.operators.agreement import gamma, inversion_rates, pair_counts, tau
 from tausift.operators.incremental import first_wins, gate, latest, pending, replaced, through_cache
 from tausift.operators.lookup import by_priority, contained_tokens, exact_or_unique, longest_prefix
 from tausift.operators.order import at_positions, ordinal, tie_ranks
-from tausift.operators.resample import DRAW_SQL, bootstrap_pairs, bootstrap_rows, draw, permuted
+from tausift.operators.resample import DRAW_SQL, bootstrap_pairs, bootstrap_rows, draw, drawn_order, drawn_with_replacement, fits_arrays, permuted_pairs, replicates
 from tausift.operators.scores import ratio
 from tausift.plans.base import BOARDS, FAMILY, LOCAL, SCORES, SLICES, boards, family, local_scores, scores, slices
 from tausift.runtime import small, table
@@ -194,12 +194,19 @@ def validation_gates(spark: SparkSession, d: str) -> DataFrame:
     return judged.groupBy("query_type").agg(F.count(F.lit(1)).alias("pairs"), F.count_if("valid").alias("valid"))
 
 
-REPS = 40
+#: Replicates of a bootstrap, and permutations of a test.
+REPS = 10_000
+#: Subsets of a resample without replacement, and entities in each.
+SUBSETS, SUBSET_SIZE = 100, 25
 
 
 def bootstrap_mean_ci(spark: SparkSession, d: str) -> DataFrame:
     """Per slice: mean and 95 percent interval of the mean local score over bootstrap replicates."""
-    means = bootstrap_rows(slices(spark, d), ["slice"], "entity", ["l"], REPS).groupBy("slice", "rep").agg(ratio(F.sum("l"), F.count("l")).alias("m"))
+    rows = slices(spark, d)
+    if fits_arrays(rows, ["slice"]):
+        means = replicates(rows, ["slice"], "entity", ["l"], REPS, lambda rep, c: (float(c["l"][drawn_with_replacement(rep, len(c["l"]), 42)].sum()) / len(c["l"]),), "m double")
+    else:
+        means = bootstrap_rows(rows, ["slice"], "entity", ["l"], REPS).groupBy("slice", "rep").agg(ratio(F.sum("l"), F.count("l")).alias("m"))
     q = at_positions(means, ["slice"], "m", {"low": (F.col("n") - 1) * F.lit(0.025), "high": (F.col("n") - 1) * F.lit(0.975)})
     return q.select("slice", "n", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
 
@@ -211,33 +218,70 @@ def bootstrap_tau_ci(spark: SparkSession, d: str) -> DataFrame:
     return q.select("slice", "n", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 
+#: Entities of the rosters of the null distribution; a slice takes part in those it can fill, and as a whole (0).
+ROSTERS = (0, 10, 20, 30)
+
+
 def null_inversion(spark: SparkSession, d: str) -> DataFrame:
-    """Per slice: mean inversion rate of the global order against random orders, and the replicates below the observed one."""
-    base = slices(spark, d)
-    random = permuted(base, ["slice"], "entity", "l", REPS).join(base.select("slice", "entity", "g"), ["slice", "entity"])
-    rates = pair_counts(random, ["slice", "rep"], "g", "l").select("slice", inversion_rates()["skip"].alias("r"))
-    observed = pair_counts(base, ["slice"], "g", "l").select("slice", inversion_rates()["skip"].alias("observed"))
-    return rates.join(observed, "slice").groupBy("slice", "observed").agg(F.round(F.avg("r"), 6).alias("mean_null"), F.count_if(F.col("r") < F.col("observed")).alias("below"))
+    """Per slice and roster (its best entities by global score; 0: all): mean inversion rate of random orders, its spread, and
+    the replicates below the observed rate."""
+    ranked = ordinal(slices(spark, d), ["slice"], [F.col("g").desc(), F.col("entity").asc()], "k")
+    sized = ranked.join(ranked.groupBy("slice").agg(F.count(F.lit(1)).alias("size")), "slice")
+    base = sized.select("slice", "entity", "g", "l", "k", "size", F.explode(F.array(*map(F.lit, ROSTERS))).alias("roster")).filter("roster = 0 or (size >= roster and k <= roster)")
+    rates = permuted_pairs(base, ["slice", "roster"], "entity", "g", "l", REPS).select("slice", "roster", inversion_rates()["skip"].alias("r"))
+    observed = pair_counts(base, ["slice", "roster"], "g", "l").select("slice", "roster", inversion_rates()["skip"].alias("observed"))
+    of = rates.join(observed, ["slice", "roster"]).groupBy("slice", "roster", "observed")
+    return of.agg(F.round(F.avg("r"), 6).alias("mean_null"), F.round(F.stddev_pop("r"), 6).alias("std_null"), F.count_if(F.col("r") < F.col("observed")).alias("below"))
 
 
 def permutation_tau(spark: SparkSession, d: str) -> DataFrame:
     """Per slice: Kendall's tau-b, and the add-one p-value of its size among permuted local scores."""
     base = slices(spark, d)
-    random = permuted(base, ["slice"], "entity", "l", REPS).join(base.select("slice", "entity", "g"), ["slice", "entity"])
-    taus = pair_counts(random, ["slice", "rep"], "g", "l").select("slice", tau_b().alias("t"))
+    taus = permuted_pairs(base, ["slice"], "entity", "g", "l", REPS).select("slice", tau_b().alias("t"))
     observed = pair_counts(base, ["slice"], "g", "l").select("slice", tau_b().alias("tau_b"))
     hits = taus.join(observed, "slice").groupBy("slice", "tau_b").agg(F.count_if(F.abs("t") >= F.abs("tau_b") - 1e-12).alias("c"), F.count(F.lit(1)).alias("n"))
     return hits.select("slice", "tau_b", ratio(F.col("c") + 1, F.col("n") + 1).alias("p"))
 
 
 def subset_resample(spark: SparkSession, d: str) -> DataFrame:
-    """Per slice: 20 subsets of 25 entities without replacement; median and range of their mean local score."""
-    placed = ordinal(slices(spark, d), ["slice"], [F.col("entity").asc()], "k").select("slice", "k", "l", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(20).cast("long"))).alias("rep"))
-    chosen = ordinal(placed.withColumn("key", draw(F.col("rep"), F.col("k"), 7)), ["slice", "rep"], [F.col("key").asc(), F.col("k").asc()], "r").filter("r <= 25")
-    means = chosen.groupBy("slice", "rep").agg(ratio(F.sum("l"), F.count("l")).alias("m"))
+    """Per slice: SUBSETS subsets of SUBSET_SIZE entities without replacement; median and range of their mean local score."""
+    rows = slices(spark, d)
+    if fits_arrays(rows, ["slice"]):
+        chosen = replicates(rows, ["slice"], "entity", ["l"], SUBSETS, lambda rep, c: (float(c["l"][drawn_order(rep, len(c["l"]), 7)[:SUBSET_SIZE]].sum()) / min(SUBSET_SIZE, len(c["l"])),), "m double")
+        means = chosen.select("slice", "rep", "m")
+    else:
+        placed = ordinal(rows, ["slice"], [F.col("entity").asc()], "k").select("slice", "k", "l", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(SUBSETS).cast("long"))).alias("rep"))
+        picked = ordinal(placed.withColumn("key", draw(F.col("rep"), F.col("k"), 7)), ["slice", "rep"], [F.col("key").asc(), F.col("k").asc()], "r").filter(F.col("r") <= SUBSET_SIZE)
+        means = picked.groupBy("slice", "rep").agg(ratio(F.sum("l"), F.count("l")).alias("m"))
     return means.groupBy("slice").agg(F.round(F.median("m"), 6).alias("median"), F.min("m").alias("lowest"), F.max("m").alias("highest"))
 
 
+def inflation_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """Per slice: the gap that the global score shows between large and small models over the local one (inflation), its mean
+    and 95 percent interval over bootstrap replicates of the entities, and the share of replicates at or under 1 (one-sided p)."""
+    rows = slices(spark, d).filter("params is not null").select("slice", "entity", (F.col("g") * 100).alias("g"), "l", (F.col("params") >= 500_000_000).cast("long").alias("big"))
+
+    def stat(rep: int, c: dict) -> tuple:
+        at = drawn_with_replacement(rep, len(c["l"]), 42)
+        big, g, low = c["big"][at], c["g"][at], c["l"][at]
+        n1 = int(big.sum())
+        n0 = len(at) - n1
+        if not n1 or not n0:
+            return (None,)
+        gap = lambda v: float((v * big).sum()) / n1 - float((v * (1 - big)).sum()) / n0
+        return (gap(g) / gap(low) if gap(low) else None,)
+
+    if fits_arrays(rows, ["slice"]):
+        drawn = replicates(rows, ["slice"], "entity", ["g", "l", "big"], REPS, stat, "r double")
+    else:
+        gap = lambda c: ratio(F.sum(F.col(c) * F.col("big")), F.sum("big")) - ratio(F.sum(F.col(c) * (1 - F.col("big"))), F.sum(1 - F.col("big")))
+        drawn = bootstrap_rows(rows, ["slice"], "entity", ["g", "l", "big"], REPS).groupBy("slice", "rep").agg(F.try_divide(gap("g"), gap("l")).alias("r"))
+    valid = drawn.dropna(subset=["r"])
+    q = at_positions(valid, ["slice"], "r", {"low": (F.col("n") - 1) * F.lit(0.025), "high": (F.col("n") - 1) * F.lit(0.975)})
+    means = valid.groupBy("slice").agg(F.round(F.avg("r"), 6).alias("mean_ratio"), ratio(F.count_if(F.col("r") <= 1), F.count(F.lit(1))).alias("p"))
+    return means.join(q, "slice").select("slice", "n", "mean_ratio", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "p")
+
+
 def mann_whitney(spark: SparkSession, d: str) -> DataFrame:
     """Per slice: U of the local scores of models with 500 million parameters or more against smaller ones."""
     rows = slices(spark, d).filter("params is not null").withColumn("big", F.col("params") >= 500_000_000)
@@ -333,7 +377,7 @@ QUERIES = {
     for f in (
         left_default, full_outer_align, k_way_intersection, semi_answerable, anti_resume, intersect_keys, except_report, union_first_wins, unpivot_scores, pivot_first, cross_source_delta, exact_or_short_names,
         prefix_fuzzy_match, contained_names, alternate_code_coalesce, unmatched_names, json_props_agg, nested_result_flatten, split_fallback_mean, latest_revision, checkpoint_latest, checkpoint_resume, cache_hit_miss,
-        idempotent_append, upsert_latest, validation_gates, bootstrap_mean_ci, bootstrap_tau_ci, null_inversion, permutation_tau, subset_resample, mann_whitney, cluster_delta, roster_variants, unified_sources,
+        idempotent_append, upsert_latest, validation_gates, bootstrap_mean_ci, bootstrap_tau_ci, inflation_bootstrap, null_inversion, permutation_tau, subset_resample, mann_whitney, cluster_delta, roster_variants, unified_sources,
         query_type_ratio, efficiency_merge, earlier_check_agreement, best_other, run_snapshots, tiers_by_language, customer_region_sales,
     )
 }
@@ -395,9 +439,20 @@ ORACLE = {
         SELECT query_type, CAST(count(*) AS BIGINT) AS pairs, CAST(count(*) FILTER (share >= CASE query_type WHEN 'summarization' THEN 0.3 WHEN 'unanswerable' THEN 0 ELSE 0.5 END) AS BIGINT) AS valid FROM p GROUP BY query_type""",
     "bootstrap_mean_ci": f"WITH {_BOOT}, m AS (SELECT slice, rep, CAST(sum(l) AS DOUBLE) / CAST(count(l) AS DOUBLE) AS m FROM boot GROUP BY ALL) SELECT slice, CAST(count(*) AS BIGINT) AS n, round(quantile_cont(m, CAST(0.025 AS DOUBLE)), 4) AS low, round(quantile_cont(m, CAST(0.975 AS DOUBLE)), 4) AS high FROM m GROUP BY slice",
     "bootstrap_tau_ci": f"WITH {_BOOT}, {_pairs('slice, rep', 'boot', 'k')}, t AS (SELECT slice, {_TAU} AS t FROM gc) SELECT slice, CAST(count(t) AS BIGINT) AS n, round(quantile_cont(t, CAST(0.025 AS DOUBLE)), 9) AS low, round(quantile_cont(t, CAST(0.975 AS DOUBLE)), 9) AS high FROM t GROUP BY slice",
-    "null_inversion": f"WITH {_PERM}, {_pairs('slice, rep', 'perm')}, {_pairs('slice', 'slices', out='ob')}, r AS (SELECT slice, {_SKIP} AS r FROM gc), o AS (SELECT slice, {_SKIP} AS observed FROM ob) SELECT slice, observed, round(avg(r), 6) AS mean_null, CAST(count(*) FILTER (r < observed) AS BIGINT) AS below FROM r JOIN o USING (slice) GROUP BY slice, observed",
+    "null_inversion": f"""WITH {SLICES}, ranked AS (SELECT slice, entity, g, l, row_number() OVER (PARTITION BY slice ORDER BY g DESC, entity) AS k0, count(*) OVER (PARTITION BY slice) AS size FROM slices),
+        base AS (SELECT slice, roster, entity, g, l FROM ranked, (VALUES {', '.join(f'({r})' for r in ROSTERS)}) x(roster) WHERE roster = 0 OR (size >= roster AND k0 <= roster)),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY slice, roster ORDER BY entity) AS k FROM base), reps AS (SELECT unnest(generate_series(1, {REPS})) AS rep),
+        dealt AS (SELECT slice, roster, rep, l, row_number() OVER (PARTITION BY slice, roster, rep ORDER BY {DRAW_SQL.format(rep='rep', k='k', seed=42)}, k) AS t FROM placed, reps),
+        perm AS (SELECT p.slice, p.roster, d.rep, p.entity, p.g, d.l FROM dealt d JOIN placed p ON p.slice = d.slice AND p.roster = d.roster AND p.k = d.t),
+        {_pairs('slice, roster, rep', 'perm')}, {_pairs('slice, roster', 'base', out='ob')}, r AS (SELECT slice, roster, {_SKIP} AS r FROM gc), o AS (SELECT slice, roster, {_SKIP} AS observed FROM ob)
+        SELECT slice, roster, observed, round(avg(r), 6) AS mean_null, round(stddev_pop(r), 6) AS std_null, CAST(count(*) FILTER (r < observed) AS BIGINT) AS below FROM r JOIN o USING (slice, roster) GROUP BY slice, roster, observed""",
+    "inflation_bootstrap": f"""WITH {SLICES}, placed AS (SELECT slice, g * 100 AS g, l, CAST(params >= 500000000 AS BIGINT) AS big, row_number() OVER (PARTITION BY slice ORDER BY entity) AS k, count(*) OVER (PARTITION BY slice) AS n FROM slices WHERE params IS NOT NULL),
+        reps AS (SELECT unnest(generate_series(1, {REPS})) AS rep), boot AS (SELECT a.slice, rep, b.g, b.l, b.big FROM placed a CROSS JOIN reps JOIN placed b ON b.slice = a.slice AND b.k - 1 = {DRAW_SQL.format(rep='rep', k='(a.k - 1)', seed=42)} % a.n),
+        t AS (SELECT slice, rep, CAST(sum(g * big) AS DOUBLE) / nullif(sum(big), 0) - CAST(sum(g * (1 - big)) AS DOUBLE) / nullif(sum(1 - big), 0) AS a, CAST(sum(l * big) AS DOUBLE) / nullif(sum(big), 0) - CAST(sum(l * (1 - big)) AS DOUBLE) / nullif(sum(1 - big), 0) AS b FROM boot GROUP BY slice, rep),
+        r AS (SELECT slice, a / nullif(b, 0) AS r FROM t)
+        SELECT slice, CAST(count(r) AS BIGINT) AS n, round(avg(r), 6) AS mean_ratio, round(quantile_cont(r, CAST(0.025 AS DOUBLE)), 6) AS low, round(quantile_cont(r, CAST(0.975 AS DOUBLE)), 6) AS high, CAST(count(*) FILTER (r <= 1) AS DOUBLE) / CAST(count(r) AS DOUBLE) AS p FROM r WHERE r IS NOT NULL GROUP BY slice""",
     "permutation_tau": f"WITH {_PERM}, {_pairs('slice, rep', 'perm')}, {_pairs('slice', 'slices', out='ob')}, r AS (SELECT slice, {_TAU} AS t FROM gc), o AS (SELECT slice, {_TAU} AS tau_b FROM ob) SELECT slice, tau_b, CAST(count(*) FILTER (abs(t) >= abs(tau_b) - 1e-12) + 1 AS DOUBLE) / CAST(count(*) + 1 AS DOUBLE) AS p FROM r JOIN o USING (slice) GROUP BY slice, tau_b",
-    "subset_resample": f"""WITH {_PLACED}, s AS (SELECT slice, rep, l, row_number() OVER (PARTITION BY slice, rep ORDER BY {DRAW_SQL.format(rep='rep', k='k', seed=7)}, k) AS r FROM placed, reps WHERE rep <= 20), m AS (SELECT slice, rep, CAST(sum(l) AS DOUBLE) / CAST(count(l) AS DOUBLE) AS m FROM s WHERE r <= 25 GROUP BY ALL)
+    "subset_resample": f"""WITH {_PLACED}, s AS (SELECT slice, rep, l, row_number() OVER (PARTITION BY slice, rep ORDER BY {DRAW_SQL.format(rep='rep', k='k', seed=7)}, k) AS r FROM placed, reps WHERE rep <= {SUBSETS}), m AS (SELECT slice, rep, CAST(sum(l) AS DOUBLE) / CAST(count(l) AS DOUBLE) AS m FROM s WHERE r <= {SUBSET_SIZE} GROUP BY ALL)
         SELECT slice, round(median(m), 6) AS median, min(m) AS lowest, max(m) AS highest FROM m GROUP BY slice""",
     "mann_whitney": f"""WITH {SLICES}, r AS (SELECT slice, params >= 500000000 AS big, rank() OVER (PARTITION BY slice ORDER BY l) + (count(*) OVER (PARTITION BY slice, l) - 1) / CAST(2 AS DOUBLE) AS k FROM slices WHERE params IS NOT NULL),
         s AS (SELECT slice, CAST(count(*) FILTER (big) AS BIGINT) AS n_big, CAST(count(*) FILTER (NOT big) AS BIGINT) AS n_small, sum(k) FILTER (big) AS w FROM r GROUP BY slice) SELECT slice, n_big, n_small, w - CAST(n_big AS DOUBLE) * (CAST(n_big AS DOUBLE) + 1) / 2 AS u FROM s WHERE n_big > 0 AND n_small > 0""",

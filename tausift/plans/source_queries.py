@@ -98,10 +98,22 @@ def deep_key(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").filter("props is not null").groupBy("event_type").agg(F.sum(find_key(wrapped, "K")).alias("total"))
 
 
+def _tied(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """(slice, name): the sizes of groups of equal values, those of one left out. Different sizes are few."""
+    sizes = rows.groupBy("slice", value).agg(F.count(F.lit(1)).alias("t")).filter("t > 1")
+    return sizes.groupBy("slice").agg(F.collect_list("t").alias(name))
+
+
+def _none() -> Column:
+    return F.array().cast("array<bigint>")
+
+
 def tau_p_values(spark: SparkSession, d: str) -> DataFrame:
-    """Per slice: Kendall's tau-b and its p-value."""
-    c = pair_counts(slices(spark, d), ["slice"], "g", "l").filter("n >= 2")
-    return c.select("slice", "n", tau_b().alias("tau_b"), kendall_p(F.col("concordant"), F.col("discordant"), F.col("n"), F.col("tied_x") + F.col("tied_y") + F.col("tied_both")).alias("p"))
+    """Per slice: Kendall's tau-b and its p-value, with ties in either score."""
+    rows = slices(spark, d)
+    c = pair_counts(rows, ["slice"], "g", "l").filter("n >= 2").join(_tied(rows, "g", "gx"), "slice", "left").join(_tied(rows, "l", "lx"), "slice", "left")
+    p = kendall_p(F.col("concordant"), F.col("discordant"), F.col("n"), F.coalesce("gx", _none()), F.coalesce("lx", _none()))
+    return c.select("slice", "n", tau_b().alias("tau_b"), F.round(p, 10).alias("p"))
 
 
 def ols_p_values(spark: SparkSession, d: str) -> DataFrame:
@@ -109,21 +121,21 @@ def ols_p_values(spark: SparkSession, d: str) -> DataFrame:
     fit = ols_gap(spark, d).filter("n > 2")
     free = F.col("n") - 2
     t = F.sqrt(F.try_divide(F.col("r2") * free, 1 - F.col("r2")))
-    return fit.select("slice", "n", "slope", student_p(t, free.cast("double")).alias("p"))
+    return fit.select("slice", "n", "slope", F.round(student_p(t, free.cast("double")), 10).alias("p"))
 
 
 def rank_sum_p_values(spark: SparkSession, d: str) -> DataFrame:
-    """Per slice: the normal p-value of the rank-sum test."""
-    m = mann_whitney(spark, d)
-    a, b = F.col("n_big").cast("double"), F.col("n_small").cast("double")
-    return m.select("slice", "u", normal_p((F.col("u") - a * b / 2) / F.sqrt(a * b * (a + b + 1) / 12)).alias("p"))
+    """Per slice: U of large against small models, and the one-sided p-value that the large ones score higher."""
+    rows = slices(spark, d).filter("params is not null")
+    m = mann_whitney(spark, d).join(_tied(rows, "l", "ties"), "slice", "left")
+    return m.select("slice", "n_big", "n_small", "u", F.round(rank_sum_p(F.col("u"), F.col("n_big"), F.col("n_small"), F.coalesce("ties", _none())), 10).alias("p"))
 
 
 def spearman_p_values(spark: SparkSession, d: str) -> DataFrame:
     """Per slice: Spearman's rho and its p-value by Student's distribution."""
     r = spearman_by_slice(spark, d).filter("n > 2 and abs(rho) < 1")
     free = F.col("n") - 2
-    return r.select("slice", "n", "rho", student_p(F.col("rho") * F.sqrt(free / (1 - F.col("rho") * F.col("rho"))), free.cast("double")).alias("p"))
+    return r.select("slice", "n", "rho", F.round(student_p(F.col("rho") * F.sqrt(free / (1 - F.col("rho") * F.col("rho"))), free.cast("double")), 10).alias("p"))
 
 
 def greedy_batches(spark: SparkSession, d: str) -> DataFrame:
