@@ -102,11 +102,42 @@ def student_p(t: Column, df: Column) -> Column:
     return tail(t, df)
 
 
-def kendall_p(concordant: Column, discordant: Column, n: Column, ties: Column) -> Column:
-    """Two-sided p-values of Kendall's tau: exact without ties up to 33 entities, else by the normal approximation without tie groups."""
+#: Entities up to which Kendall's p-value is exact without ties, and the smaller group up to which that of the rank sum is.
+KENDALL_EXACT, RANK_SUM_EXACT = 33, 8
+
+
+def kendall_p(concordant: Column, discordant: Column, n: Column, x_ties: Column, y_ties: Column) -> Column:
+    """Two-sided p-values of Kendall's tau: exact without ties up to KENDALL_EXACT entities (or with at most one pair on either
+    side), else by the normal approximation, whose variance takes the tied groups into account. *_ties: arrays of the sizes of
+    tied groups, those of one entity left out."""
+
+    @F.pandas_udf("double")
+    def p(c: pd.Series, d: pd.Series, size: pd.Series, xs: pd.Series, ys: pd.Series) -> pd.Series:
+        out = []
+        for con, dis, k, a, b in zip(c, d, size, xs, ys, strict=True):
+            a, b = [int(t) for t in a], [int(t) for t in b]
+            exact = not a and not b and (k <= KENDALL_EXACT or min(dis, k * (k - 1) // 2 - dis) <= 1)
+            out.append(kendall_exact(int(dis), int(k)) if exact else kendall_normal(int(con), int(dis), int(k), a, b))
+        return pd.Series(out)
+
+    return p(concordant, discordant, n, x_ties, y_ties)
+
+
+def rank_sum_greater(u: float, n1: int, n2: int, ties: list[int]) -> float:
+    """P of a rank sum as great as u, one-sided: exact without ties if either group has at most RANK_SUM_EXACT, else by the
+    normal approximation with tie and continuity corrections. ties: sizes of tied groups."""
+    if not ties and min(n1, n2) <= RANK_SUM_EXACT:
+        return mann_whitney_exact(u, n1, n2)
+    n = n1 + n2
+    variance = n1 * n2 / 12 * (n + 1 - sum(t**3 - t for t in ties) / (n * (n - 1)))
+    return math.erfc((u - n1 * n2 / 2 - 0.5) / math.sqrt(variance) / math.sqrt(2)) / 2 if variance > 0 else math.nan
+
+
+def rank_sum_p(u: Column, n1: Column, n2: Column, ties: Column) -> Column:
+    """`rank_sum_greater` of columns."""
 
     @F.pandas_udf("double")
-    def p(c: pd.Series, d: pd.Series, size: pd.Series, tied: pd.Series) -> pd.Series:
-        return pd.Series([kendall_exact(int(y), int(k)) if not t and k <= 33 else kendall_normal(int(x), int(y), int(k), [], []) for x, y, k, t in zip(c, d, size, tied, strict=True)])
+    def p(us: pd.Series, a: pd.Series, b: pd.Series, ts: pd.Series) -> pd.Series:
+        return pd.Series([rank_sum_greater(x, int(k), int(m), [int(t) for t in sizes]) for x, k, m, sizes in zip(us, a, b, ts, strict=True)])
 
-    return p(concordant, discordant, n, ties)
+    return p(u, n1, n2, ties)

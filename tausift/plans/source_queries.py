@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tausift.functions.exact import kendall_p, normal_p, student_p
+from tausift.functions.exact import KENDALL_EXACT, RANK_SUM_EXACT, kendall_p, rank_sum_p, student_p
 from tausift.operators.agreement import pair_counts, tau_b
 from tausift.operators.incremental import token_batches
 from tausift.operators.retrieval import evaluate
-from tausift.plans.base import LOCAL, SCORES, local_scores, scores, slices
-from tausift.plans.score_queries import ols_gap
-from tausift.plans.relational_queries import mann_whitney
+from tausift.plans.base import LOCAL, SCORES, SLICES, local_scores, scores, slices
+from tausift.plans.rank_queries import ORACLE as RANK_SQL
 from tausift.plans.rank_queries import spearman_by_slice
+from tausift.plans.relational_queries import ORACLE as RELATIONAL_SQL
+from tausift.plans.relational_queries import mann_whitney
+from tausift.plans.score_queries import ORACLE as SCORE_SQL
+from tausift.plans.score_queries import ols_gap
 from tausift.runtime import shared_dir, table
 from tausift.sources.readers import find_key, flatten_results, latest_revisions, read_csv, read_latest_log, read_retrieval_set, read_wide_csv, retrieval_set_of
 from tausift.sources.writers import append_log, upsert_parquet, write_retrieval_set, write_sorted_csv
@@ -35,9 +38,11 @@ def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
 def wide_csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Local scores written as a wide CSV with one column per task, and read as rows again."""
     path = _place(spark, "wide")
-    wide = local_scores(spark, d).filter("slice = 'italian'").groupBy(F.col("entity").alias("Model")).pivot("task", ["task_belebele", "task_mlqa"]).agg(F.max("s"))
+    tasks = ["task_belebele", "task_wikipedia", "task_miracl_hn", "task_mlqa"]
+    wide = local_scores(spark, d).groupBy(F.concat_ws("|", "slice", "entity").alias("Model")).pivot("task", tasks).agg(F.max("s"))
     wide.write.option("header", True).csv(path)
-    return read_wide_csv(spark, path).select("entity", "task", F.col("score").cast("long").alias("s"))
+    rows = read_wide_csv(spark, path).select(F.split("entity", r"\|", 2).alias("e"), "task", F.col("score").cast("long").alias("s"))
+    return rows.select(F.col("e")[0].alias("slice"), F.col("e")[1].alias("entity"), "task", "s")
 
 
 def log_round_trip(spark: SparkSession, d: str) -> DataFrame:
@@ -164,9 +169,57 @@ QUERIES = {
     )
 }
 
+# ---- distribution functions in SQL: power series of the error function, finite sums of Student's distribution ----
+
+
+def _erfc_sql(x: str) -> str:
+    """The complementary error function of a number of 0 or more."""
+    return f"CASE WHEN {x} = 0 THEN 1 WHEN {x} > 12 THEN 0 ELSE 1 - list_sum(list_transform(range(0, 500), lambda i: exp((2 * i + 1) * ln({x}) - lgamma(i + 1.5) - {x} * {x}))) END"
+
+
+def _student_sql(t: str, v: str) -> str:
+    """Both tails of Student's distribution with a whole number of degrees of freedom."""
+    a = f"atan(abs({t}) / sqrt({v}))"
+    odd = f"2 / pi() * ({a} + CASE WHEN {v} > 1 THEN sin({a}) * list_sum(list_transform(range(0, CAST(({v} - 1) / 2 AS BIGINT)), lambda i: exp(0.5 * ln(pi()) + lgamma(i + 1) - ln(2) - lgamma(i + 1.5)) * cos({a}) ** (2 * i + 1))) ELSE 0 END)"
+    even = f"sin({a}) * list_sum(list_transform(range(0, CAST({v} / 2 AS BIGINT)), lambda i: exp(lgamma(i + 0.5) - 0.5 * ln(pi()) - lgamma(i + 1)) * cos({a}) ** (2 * i)))"
+    return f"CASE WHEN {v} % 2 = 1 THEN 1 - ({odd}) ELSE 1 - ({even}) END"
+
+
+#: Numbers of permutations of n by their inversions, for n up to KENDALL_EXACT.
+_MAHONIAN = f"""mahonian AS (SELECT 1 AS n, [CAST(1 AS DOUBLE)] AS c UNION ALL
+    SELECT n + 1, list_transform(range(0, CAST((n + 1) * n / 2 AS BIGINT) + 1), lambda j: list_sum(c[greatest(1, j - n + 1) : least(j + 1, len(c))])) FROM mahonian WHERE n < {KENDALL_EXACT})"""
+_TAU_P = f"""WITH RECURSIVE {_MAHONIAN}, {SLICES},
+    pairs AS (SELECT a.slice, sign(a.g - b.g) AS x, sign(a.l - b.l) AS y FROM slices a JOIN slices b ON a.slice = b.slice AND a.entity < b.entity),
+    c AS (SELECT slice, count(*) FILTER (x * y > 0) AS con, count(*) FILTER (x * y < 0) AS dis, count(*) FILTER (x = 0) AS tx, count(*) FILTER (y = 0) AS ty, count(*) AS np FROM pairs GROUP BY slice),
+    n AS (SELECT slice, count(*) AS n FROM slices GROUP BY slice HAVING count(*) >= 2),
+    tie(slice, v, x1, x2) AS (SELECT slice, sum(t * (t - 1) * (2 * t + 5)), sum(t * (t - 1)), sum(t * (t - 1) * (t - 2)) FROM (SELECT slice, g, CAST(count(*) AS DOUBLE) AS t FROM slices GROUP BY slice, g) GROUP BY slice),
+    tia(slice, v, y1, y2) AS (SELECT slice, sum(t * (t - 1) * (2 * t + 5)), sum(t * (t - 1)), sum(t * (t - 1) * (t - 2)) FROM (SELECT slice, l, CAST(count(*) AS DOUBLE) AS t FROM slices GROUP BY slice, l) GROUP BY slice),
+    z AS (SELECT slice, n, con, dis, tx, ty, np, m.c AS counts, least(dis, np - dis) AS low,
+          abs(con - dis) / sqrt(nullif((CAST(n AS DOUBLE) * (n - 1) * (2 * n + 5) - tie.v - tia.v) / 18 + x1 * y1 / (2 * n * (n - 1)) + CASE WHEN n > 2 THEN x2 * y2 / (9 * CAST(n AS DOUBLE) * (n - 1) * (n - 2)) ELSE 0 END, 0)) / sqrt(2) AS x
+          FROM n JOIN c USING (slice) JOIN tie USING (slice) JOIN tia USING (slice) LEFT JOIN mahonian m USING (n))
+    SELECT slice, CAST(n AS BIGINT) AS n, CASE WHEN np > tx AND np > ty THEN (con - dis) / sqrt(CAST(np - tx AS DOUBLE) * CAST(np - ty AS DOUBLE)) END AS tau_b,
+        round(CASE WHEN tx = 0 AND ty = 0 AND n <= {KENDALL_EXACT} THEN CASE WHEN 2 * low = np THEN 1 ELSE least(1, 2 * list_sum(counts[1 : low + 1]) / list_sum(counts)) END ELSE {_erfc_sql('x')} END, 10) AS p FROM z"""
+_RANK_SUM_P = f"""WITH RECURSIVE m AS ({RELATIONAL_SQL['mann_whitney']}), {SLICES},
+    ties AS (SELECT slice, sum(t * t * t - t) AS c FROM (SELECT slice, l, CAST(count(*) AS DOUBLE) AS t FROM slices WHERE params IS NOT NULL GROUP BY slice, l) GROUP BY slice),
+    step AS (SELECT slice, n_big AS a, n_small AS b, 0 AS i, [CAST(1 AS DOUBLE)] AS c FROM m JOIN ties t USING (slice) WHERE t.c = 0 AND least(n_big, n_small) <= {RANK_SUM_EXACT} UNION ALL
+        SELECT slice, a, b, i + 1, list_transform(range(0, greatest(a, b) * (i + 1) + 1), lambda j: list_sum(list_transform(range(0, j // (i + 1) + 1), lambda k: coalesce(c[j - k * (i + 1) + 1], 0) - CASE WHEN j - k * (i + 1) >= greatest(a, b) + i + 1 THEN coalesce(c[j - k * (i + 1) - (greatest(a, b) + i + 1) + 1], 0) ELSE 0 END)))
+        FROM step WHERE i < least(a, b)),
+    x AS (SELECT m.*, t.c AS tc, s.c AS counts, CAST(n_big AS DOUBLE) * n_small AS ab, CAST(n_big + n_small AS DOUBLE) AS n FROM m JOIN ties t USING (slice) LEFT JOIN step s ON s.slice = m.slice AND s.i = least(a, b)),
+    z AS (SELECT *, (u - ab / 2 - 0.5) / sqrt(nullif(ab / 12 * (n + 1 - tc / (n * (n - 1))), 0)) / sqrt(2) AS z FROM x)
+    SELECT slice, n_big, n_small, u, round(CASE WHEN counts IS NOT NULL THEN list_sum(counts[CAST(ceil(u) AS BIGINT) + 1 :]) / list_sum(counts) ELSE CASE WHEN z >= 0 THEN ({_erfc_sql('z')}) / 2 ELSE 1 - ({_erfc_sql('(-z)')}) / 2 END END, 10) AS p FROM z"""
+
 ORACLE = {
+    "tau_p_values": _TAU_P,
+    "rank_sum_p_values": _RANK_SUM_P,
+    "ols_p_values": f"WITH f AS ({SCORE_SQL['ols_gap']}), t AS (SELECT *, sqrt(r2 * (n - 2) / nullif(1 - r2, 0)) AS t FROM f WHERE n > 2) SELECT slice, n, slope, round({_student_sql('t', '(n - 2)')}, 10) AS p FROM t",
+    "spearman_p_values": f"WITH r AS ({RANK_SQL['spearman_by_slice']}), t AS (SELECT *, rho * sqrt((n - 2) / (1 - rho * rho)) AS t FROM r WHERE n > 2 AND abs(rho) < 1) SELECT slice, n, rho, round({_student_sql('t', '(n - 2)')}, 10) AS p FROM t",
+    "greedy_batches": """WITH RECURSIVE d AS (SELECT source, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE source IS NOT NULL),
+        f AS (SELECT source, k, n_chars AS total, 1 AS items, CAST(0 AS BIGINT) AS batch, n_chars FROM d WHERE k = 1 UNION ALL
+            SELECT d.source, d.k, CASE WHEN items >= 256 OR total + d.n_chars > 250000 THEN d.n_chars ELSE total + d.n_chars END, CASE WHEN items >= 256 OR total + d.n_chars > 250000 THEN 1 ELSE items + 1 END,
+                CASE WHEN items >= 256 OR total + d.n_chars > 250000 THEN batch + 1 ELSE batch END, d.n_chars FROM f JOIN d ON d.source = f.source AND d.k = f.k + 1)
+        SELECT source, batch, CAST(count(*) AS BIGINT) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM f GROUP BY source, batch""",
     "csv_round_trip": f"WITH {SCORES} SELECT * FROM scores",
-    "wide_csv_round_trip": f"WITH {LOCAL} SELECT entity, task, s FROM local_scores WHERE slice = 'italian' AND task IN ('task_belebele', 'task_mlqa')",
+    "wide_csv_round_trip": f"WITH {LOCAL} SELECT slice, entity, task, s FROM local_scores",
     "log_round_trip": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events WHERE user_id IS NOT NULL) WHERE r = 1",
     "retrieval_set_round_trip": """SELECT 'corpus' AS part, CAST(count(DISTINCT doc_id) AS BIGINT) AS n FROM corpus_document WHERE doc_id IS NOT NULL AND content IS NOT NULL UNION ALL SELECT 'queries', count(DISTINCT query_id) FROM qar_pair WHERE valid
         UNION ALL SELECT 'relevance', count(DISTINCT query_id) FROM qar_pair WHERE valid AND query_type <> 'unanswerable' AND doc_id IS NOT NULL""",

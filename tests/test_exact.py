@@ -3,7 +3,7 @@ import math
 
 import pytest
 
-from tausift.functions.exact import kendall_exact, kendall_normal, mann_whitney_exact, normal_tail, student_tail
+from tausift.functions.exact import kendall_exact, kendall_normal, mann_whitney_exact, normal_tail, rank_sum_greater, student_tail
 
 
 @pytest.mark.parametrize("n", [2, 3, 4, 5, 6])
@@ -39,3 +39,17 @@ def test_tails():
     assert student_tail(0, 5) == 1.0
     assert math.isnan(kendall_normal(0, 0, 1, [], []))
     assert kendall_normal(0, 0, 2, [2], []) != kendall_normal(0, 0, 2, [2], [])  # no variance: not a number
+
+
+def test_kendall_with_ties():
+    # 12 pairs with ties, variance by hand: groups of 2 and 3 on one side, of 2 on the other
+    n, v = 12, lambda t: t * (t - 1) * (2 * t + 5)
+    variance = (v(12) - v(2) - v(3) - v(2)) / 18 + 8 * 2 / (2 * n * 11) + 6 * 0 / (9 * n * 11 * 10)
+    assert kendall_normal(50, 10, n, [2, 3], [2]) == pytest.approx(normal_tail(40 / math.sqrt(variance)))
+
+
+def test_rank_sum():
+    assert rank_sum_greater(91, 5, 21, []) == pytest.approx(0.004925509273335359)
+    plain = math.erfc((330 - 200 - 0.5) / math.sqrt(400 / 12 * 41) / math.sqrt(2)) / 2
+    assert rank_sum_greater(330, 20, 20, []) == pytest.approx(plain)
+    assert rank_sum_greater(330, 20, 20, [5, 4]) < plain and math.isnan(rank_sum_greater(2, 2, 2, [4]))
