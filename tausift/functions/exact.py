@@ -82,16 +82,6 @@ def student_tail(t: float, df: float) -> float:
     return front * fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(b, a, 1 - x) / b
 
 
-def normal_p(z: Column) -> Column:
-    """Two-sided normal p-values of a column of z-scores."""
-
-    @F.pandas_udf("double")
-    def tail(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None or v != v else normal_tail(v))
-
-    return tail(z)
-
-
 def student_p(t: Column, df: Column) -> Column:
     """Two-sided p-values of columns of t statistics and degrees of freedom."""
 

@@ -37,13 +37,17 @@ def size_number(column: str | Column) -> Column:
     return number * F.when(unit == "B", F.lit(1e9)).when(unit == "M", F.lit(1e6)).when(unit == "K", F.lit(1e3))
 
 
+#: Blanks as a character class: those of ASCII and of Unicode.
+BLANKS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
 def markdown_free(column: str | Column) -> Column:
-    """Without bold, italic and heading marks, with at most one empty line in a row, trimmed."""
-    c = F.regexp_replace(column, r"\*\*([^\n]+?)\*\*", "$1")
-    c = F.regexp_replace(c, r"\*([^\n]+?)\*", "$1")
-    c = F.regexp_replace(c, r"(?md)^#{1,6}[ \t]+", "")
+    """Without bold, italic and heading marks, with at most one empty line in a row, trimmed. Marks may span lines."""
+    c = F.regexp_replace(column, r"\*\*([^*]+)\*\*", "$1")
+    c = F.regexp_replace(c, r"\*([^*]+)\*", "$1")
+    c = F.regexp_replace(c, rf"(?md)^#{{1,6}}[{BLANKS}]+", "")
     c = F.regexp_replace(c, r"\n{3,}", "\n\n")
-    return F.regexp_replace(c, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
+    return F.regexp_replace(c, rf"^[{BLANKS}]+|[{BLANKS}]+$", "")
 
 
 def word_tokens(column: str | Column, lower: bool = False) -> Column:

@@ -6,10 +6,11 @@ mean divides once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tausift.operators.order import tie_ranks
+from tausift.runtime import small
 
 
 def ratio(total: Column, count: Column) -> Column:
@@ -53,9 +54,9 @@ def leave_one_out(local: DataFrame, entity: str, slice_: str, value: str) -> Dat
 
     One row per entity and slice it has a value in; loo is null for an entity with one slice.
     """
-    own = Window.partitionBy(entity)
-    rows = local.dropna(subset=[value]).withColumns({"t": F.sum(value).over(own), "n": F.count(value).over(own)})
-    return rows.select(entity, slice_, ratio(F.col("t"), F.col("n")).alias("macro"), ratio(F.col("t") - F.col(value), F.col("n") - 1).alias("loo"))
+    rows = local.dropna(subset=[value])
+    sums = rows.groupBy(entity).agg(F.sum(value).alias("t"), F.count(value).alias("n"))
+    return rows.join(sums, entity).select(entity, slice_, ratio(F.col("t"), F.col("n")).alias("macro"), ratio(F.col("t") - F.col(value), F.col("n") - 1).alias("loo"))
 
 
 def weighted_scores(scores: DataFrame, entity: str, value: str, weight: str) -> DataFrame:
@@ -95,3 +96,20 @@ def covered_scores(scores: DataFrame, entity: str, value: str, n_tasks: Column,
     """(entity, n, coverage, score): the mean, null unless the entity has at least `least` of all tasks."""
     sums = scores.groupBy(entity).agg(F.count(value).alias("n"), F.sum(value).alias("t")).withColumn("coverage", ratio(F.col("n"), n_tasks))
     return sums.select(entity, "n", "coverage", F.when(F.col("coverage") >= least, ratio(F.col("t"), F.col("n"))).alias("score"))
+
+
+def to_unit_scale(scores: DataFrame, value: str, group: list[str]) -> DataFrame:
+    """scores with `value` as 0 to 1: a group whose largest value is over 1.5 is in percent and divided by 100.
+
+    The largest values are one row per group and join back. Nulls stay, NaN counts for nothing.
+    """
+    tops = scores.groupBy(*group).agg(F.max(F.when(~F.isnan(value), F.col(value))).alias("__top"))
+    joined = scores.join(small(tops), group)
+    return joined.withColumn(value, F.when(F.col("__top") > 1.5, F.col(value) / 100.0).otherwise(F.col(value))).drop("__top")
+
+
+def covered_items(indices: Column, total: Column) -> tuple[Column, Column]:
+    """(covered, rate) of a judge's list of indices: different ones from 0 to total - 1; null lists cover nothing."""
+    valid = F.filter(F.array_distinct(F.coalesce(indices, F.array().cast("array<bigint>"))), lambda i: (i >= 0) & (i < total))
+    covered = F.size(valid).cast("long")
+    return covered, ratio(covered, total)

@@ -71,9 +71,9 @@ def alternative_aggregators(spark: SparkSession, d: str) -> DataFrame:
     """Five ways to aggregate an entity's tasks, against its mean over the tasks in several languages: tau-b and inversion rate."""
     s = scores(spark, d)
     rows = row_aggregators(s.filter(family() == "single"), "entity", "s")
-    quantised = rows.select("entity", *(F.round(F.col(c) * 100).cast("long").alias(c) for c in ("mean", "lowest", "median", "trimmed")))
+    quantised = rows.select("entity", *(F.round(F.col(c) * 100).cast("long").alias(c) for c in ("mean", "lowest", "median", "harmonic", "trimmed")))
     multi = s.filter(family() == "multi").groupBy("entity").agg(ratio(F.sum("s"), F.count("s")).alias("l"))
-    long = quantised.unpivot(["entity"], ["mean", "lowest", "median", "trimmed"], "aggregator", "g").join(multi, "entity")
+    long = quantised.unpivot(["entity"], ["mean", "lowest", "median", "harmonic", "trimmed"], "aggregator", "g").join(multi, "entity")
     return pair_counts(long, ["aggregator"], "g", "l").select("aggregator", "n", tau_b().alias("tau_b"), inversion_rates()["half"].alias("inversion_rate"))
 
 
@@ -195,8 +195,8 @@ ORACLE = {
         ra AS ({_rho('slice, rep', 'boot', 'g', 'l', 'ra')}), rb AS ({_rho('slice, rep', 'boot', 's', 'l', 'rb')}), t AS (SELECT slice, round(ra - rb, 12) AS t FROM (SELECT slice, rep, ra FROM ra) JOIN (SELECT slice, rep, rb FROM rb) USING (slice, rep) WHERE ra - rb IS NOT NULL)
         SELECT slice, {_CI.format('t')}, least(CAST(1 AS DOUBLE), 2 * least(CAST(count(*) FILTER (t <= 0) AS DOUBLE) / CAST(count(*) AS DOUBLE), CAST(count(*) FILTER (t >= 0) AS DOUBLE) / CAST(count(*) AS DOUBLE))) AS p FROM t GROUP BY slice""",
     "alternative_aggregators": f"""WITH {SCORES}, v AS (SELECT entity, list_sort(list(s)) AS v, count(*) AS n, CAST(floor(count(*) * CAST(0.1 AS DOUBLE)) AS BIGINT) AS k FROM scores WHERE {FAMILY} = 'single' GROUP BY entity),
-        a AS (SELECT entity, CAST(round(CAST(list_sum(v) AS DOUBLE) / n * 100) AS BIGINT) AS mean, CAST(v[1] * 100 AS BIGINT) AS lowest, CAST(round((v[CAST(floor((n + 1) / 2) AS BIGINT)] + v[CAST(floor(n / 2) AS BIGINT) + 1]) / CAST(2 AS DOUBLE) * 100) AS BIGINT) AS median, CAST(round(CAST(list_sum(v[k + 1 : n - k]) AS DOUBLE) / (n - 2 * k) * 100) AS BIGINT) AS trimmed FROM v),
-        m AS (SELECT entity, CAST(sum(s) AS DOUBLE) / CAST(count(s) AS DOUBLE) AS l FROM scores WHERE {FAMILY} = 'multi' GROUP BY entity), u AS (UNPIVOT a ON mean, lowest, median, trimmed INTO NAME aggregator VALUE g), x AS (SELECT aggregator, entity, g, l FROM u JOIN m USING (entity)), {_pairs('aggregator', 'x')}
+        a AS (SELECT entity, CAST(round(CAST(list_sum(v) AS DOUBLE) / n * 100) AS BIGINT) AS mean, CAST(v[1] * 100 AS BIGINT) AS lowest, CAST(round((v[CAST(floor((n + 1) / 2) AS BIGINT)] + v[CAST(floor(n / 2) AS BIGINT) + 1]) / CAST(2 AS DOUBLE) * 100) AS BIGINT) AS median, CAST(round(n / list_sum(list_transform(v, lambda y: 1 / greatest(CAST(y AS DOUBLE), CAST(0.000001 AS DOUBLE)))) * 100) AS BIGINT) AS harmonic, CAST(round(CAST(list_sum(v[k + 1 : n - k]) AS DOUBLE) / (n - 2 * k) * 100) AS BIGINT) AS trimmed FROM v),
+        m AS (SELECT entity, CAST(sum(s) AS DOUBLE) / CAST(count(s) AS DOUBLE) AS l FROM scores WHERE {FAMILY} = 'multi' GROUP BY entity), u AS (UNPIVOT a ON mean, lowest, median, harmonic, trimmed INTO NAME aggregator VALUE g), x AS (SELECT aggregator, entity, g, l FROM u JOIN m USING (entity)), {_pairs('aggregator', 'x')}
         SELECT aggregator, n, {_TAU} AS tau_b, (CAST(discordant AS DOUBLE) + CAST(0.5 AS DOUBLE) * CAST(tied_x + tied_y + tied_both AS DOUBLE)) / pairs AS inversion_rate FROM gc JOIN (SELECT aggregator, CAST(count(*) AS BIGINT) AS n FROM x GROUP BY aggregator) USING (aggregator)""",
     "size_correlation": f"WITH {BOARDS}, {LOCAL}, x AS (SELECT task, slice, params AS a, s AS b FROM local_scores JOIN boards USING (entity, slice) WHERE params IS NOT NULL) {_rho('task, slice', 'x', 'a', 'b', 'rho')}",
     "category_audit": f"""WITH {BOARDS}, {LOCAL}, t AS (SELECT CASE WHEN task IN ('task_belebele', 'task_mlqa') THEN 'reading' ELSE 'search' END AS category, slice, entity, task, s FROM local_scores),

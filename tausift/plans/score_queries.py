@@ -46,8 +46,10 @@ def inv_coverage_weighted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def agg_min_median_harmonic_trimmed(spark: SparkSession, d: str) -> DataFrame:
-    """Mean, minimum, median, harmonic and trimmed mean of every entity's task scores."""
-    a = row_aggregators(scores(spark, d), "entity", "s")
+    """Mean, minimum, median, harmonic and trimmed mean of the task scores of entities that have all multilingual tasks."""
+    s = scores(spark, d)
+    full = full_coverage(s.filter(family() == "multi"), "entity", "task")
+    a = row_aggregators(s.join(full, "entity", "left_semi"), "entity", "s")
     return a.select("entity", "n", *(F.round(c, 4).alias(c) for c in ("mean", "lowest", "median", "harmonic", "trimmed")))
 
 
@@ -244,7 +246,7 @@ ORACLE = {
     "full_coverage_roster": f"WITH {SCORES}, m AS (SELECT * FROM scores WHERE {FAMILY} = 'multi') SELECT entity, CAST(count(DISTINCT task) AS BIGINT) AS n_tasks FROM m GROUP BY entity HAVING count(DISTINCT task) = (SELECT count(DISTINCT task) FROM m)",
     "loo_macro": f"WITH {SLICES}, {_LOO} SELECT entity, slice, macro, loo FROM loo",
     "inv_coverage_weighted": f"WITH {SCORES}, w AS (SELECT task, CAST(1 AS DOUBLE) / count(*) AS w FROM scores GROUP BY task) SELECT entity, round(sum(w * s) / sum(w), 4) AS score FROM scores JOIN w USING (task) GROUP BY entity",
-    "agg_min_median_harmonic_trimmed": f"""WITH {SCORES}, x AS (SELECT entity, list_sort(list(s)) AS v, count(*) AS n, CAST(floor(count(*) * CAST(0.1 AS DOUBLE)) AS BIGINT) AS k FROM scores GROUP BY entity)
+    "agg_min_median_harmonic_trimmed": f"""WITH {SCORES}, x AS (SELECT entity, list_sort(list(s)) AS v, count(*) AS n, CAST(floor(count(*) * CAST(0.1 AS DOUBLE)) AS BIGINT) AS k FROM scores WHERE entity IN (SELECT entity FROM scores WHERE {FAMILY} = 'multi' GROUP BY entity HAVING count(DISTINCT task) = (SELECT count(DISTINCT task) FROM scores WHERE {FAMILY} = 'multi')) GROUP BY entity)
         SELECT entity, CAST(n AS BIGINT) AS n, round(CAST(list_sum(v) AS DOUBLE) / n, 4) AS mean, CAST(v[1] AS DOUBLE) AS lowest, round((v[CAST(floor((n + 1) / 2) AS BIGINT)] + v[CAST(floor(n / 2) AS BIGINT) + 1]) / CAST(2 AS DOUBLE), 4) AS median,
         round(n / list_sum(list_transform(v, lambda y: 1 / greatest(CAST(y AS DOUBLE), CAST(0.000001 AS DOUBLE)))), 4) AS harmonic, round(CAST(list_sum(v[k + 1 : n - k]) AS DOUBLE) / (n - 2 * k), 4) AS trimmed FROM x""",
     "borda_points": f"""WITH {SCORES}, m AS (SELECT * FROM scores WHERE {FAMILY} = 'multi'), roster AS (SELECT entity FROM m GROUP BY entity HAVING count(DISTINCT task) = (SELECT count(DISTINCT task) FROM m)), r AS (SELECT * FROM m WHERE entity IN (FROM roster)),

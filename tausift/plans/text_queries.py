@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tausift.functions.text import base_language, char_ngrams, char_tokens, collapsed, first_integer, markdown_free, plain_name, short_id, size_number, without_hash, without_link, word_ngrams, word_tokens
+from tausift.functions.text import BLANKS, base_language, char_ngrams, char_tokens, collapsed, first_integer, markdown_free, plain_name, short_id, size_number, without_hash, without_link, word_ngrams, word_tokens
 from tausift.operators.retrieval import bm25, dense_top_k, evaluate, fuse, gram_overlap
 from tausift.runtime import table
 
@@ -182,8 +182,8 @@ ORACLE = {
         FROM leaderboard WHERE params IS NOT NULL GROUP BY params""",
     "unwrapped_names": r"SELECT model, split_part(regexp_replace(model, '^\s*\[([^\]]*)\]\([^)]*\)\s*$', '\1'), '/', -1) AS name FROM (SELECT DISTINCT model FROM leaderboard WHERE model IS NOT NULL)",
     "markdown_strip": r"""WITH a AS (SELECT doc_id, max(content) AS c FROM corpus_document WHERE doc_id IS NOT NULL AND content IS NOT NULL GROUP BY doc_id),
-        b AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(c, '\*\*([^\n]+?)\*\*', '\1', 'g'), '\*([^\n]+?)\*', '\1', 'g'), '(?m)^#{1,6}[ \t]+', '', 'g'), '\n{3,}', E'\n\n', 'g'), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') AS c FROM a)
-        SELECT doc_id, length(c) AS n, md5(c) AS md5 FROM b""",
+        b AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(c, '\*\*([^*]+)\*\*', '\1', 'g'), '\*([^*]+)\*', '\1', 'g'), '(?m)^#{1,6}[@]+', '', 'g'), '\n{3,}', E'\n\n', 'g'), '^[@]+|[@]+$', '', 'g') AS c FROM a)
+        SELECT doc_id, length(c) AS n, md5(c) AS md5 FROM b""".replace("@", BLANKS),
     "token_counts_by_language": rf"""WITH d AS (SELECT {_BASE} AS language, {_WORDS.format('text')} AS w, length(regexp_replace(text, '[ \t\r\n]+', '', 'g')) AS c FROM documents WHERE text IS NOT NULL)
         SELECT language, docs, words, chars, coalesce(k, 0) AS distinct_words FROM (SELECT language, CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(w)) AS BIGINT) AS words, CAST(sum(c) AS BIGINT) AS chars FROM d GROUP BY language)
         LEFT JOIN (SELECT language, CAST(count(DISTINCT t) AS BIGINT) AS k FROM (SELECT language, unnest(w) AS t FROM d) GROUP BY language) USING (language)""",

@@ -114,6 +114,57 @@ def flatten_results(documents: DataFrame, entity: str, task: str, body: str, spl
     return scored.groupBy("entity", "task", "split", "language").agg(F.max_by("score", "k").alias("score"))
 
 
+def result_scores(documents: DataFrame, entity: str, task: str, body: str) -> tuple[DataFrame, DataFrame]:
+    """(entity, task, language, score) and (entity, task, n, score): scores by language, and the mean over all entries of all splits.
+
+    The block by language is the first that holds anything of scores.test, scores.dev, test and dev. A block is a list of
+    entries with languages, or an object keyed by language; scores are ndcg_at_10, later entries of a language replace earlier
+    ones. The mean is over list blocks, ndcg_at_10 else main_score. Documents that don't parse give no rows.
+    """
+    parsed = documents.select(F.col(entity).alias("entity"), F.col(task).alias("task"), F.from_json(body, "scores map<string, string>, test string, dev string").alias("b"))
+    holds = lambda c: F.when(~F.regexp_replace(c, r"\s", "").isin("", "[]", "{}", "null"), c)
+    block = F.coalesce(*(holds(c) for c in (F.col("b.scores")["test"], F.col("b.scores")["dev"], F.col("b.test"), F.col("b.dev"))))
+    blocks = parsed.select("entity", "task", block.alias("block")).filter("block is not null")
+    listed = blocks.select("entity", "task", F.posexplode(F.from_json("block", ENTRY)).alias("k", "e")).select("entity", "task", "k", F.explode("e.languages").alias("language"), F.col("e.ndcg_at_10").alias("score"))
+    keyed = blocks.filter(F.ltrim("block").startswith("{")).select("entity", "task", F.explode(F.from_json("block", "map<string, struct<ndcg_at_10: double>>")).alias("language", "m")).select("entity", "task", F.lit(0).alias("k"), "language", F.col("m.ndcg_at_10").alias("score"))
+    by_language = listed.unionByName(keyed).dropna(subset=["score"]).groupBy("entity", "task", "language").agg(F.max_by("score", "k").alias("score"))
+    entries = parsed.select("entity", "task", F.explode(F.map_values("b.scores")).alias("x")).select("entity", "task", F.explode(F.from_json("x", ENTRY)).alias("e"))
+    means = entries.select("entity", "task", F.coalesce("e.ndcg_at_10", "e.main_score").alias("s")).dropna(subset=["s"]).groupBy("entity", "task").agg(F.count("s").alias("n"), F.avg("s").alias("score"))
+    return by_language, means
+
+
+def score_at(body: Column, codes: Sequence[str]) -> Column:
+    """The ndcg_at_10 of one language in a result document: of the first entry with any of the codes, or under the first of
+    the codes in an object keyed by language. The block is scores.test, else test."""
+    document = F.from_json(body, "scores map<string, string>, test string")
+    test = document["scores"]["test"]
+    block = F.coalesce(F.when(~F.regexp_replace(test, r"\s", "").isin("", "[]", "{}", "null"), test), document["test"])
+    wanted = F.array(*map(F.lit, codes))
+    hits = F.filter(F.from_json(block, ENTRY), lambda e: F.arrays_overlap(e["languages"], wanted) & e["ndcg_at_10"].isNotNull())
+    keyed = F.from_json(F.when(F.ltrim(block).startswith("{"), block), "map<string, struct<ndcg_at_10: double>>")
+    return F.coalesce(F.get(hits, F.lit(0))["ndcg_at_10"], *(keyed[c]["ndcg_at_10"] for c in codes))
+
+
+def task_scores(documents: DataFrame, entity: str, task: str, body: str, splits: str, subsets: str, prefixes: str) -> DataFrame:
+    """(entity, task, splits, score): subsets averaged within a split, then splits.
+
+    splits, subsets, prefixes: array columns with what the task declares. The split `test` counts alone if it is there, else
+    the declared splits that are, else all. Within a split: the entries of the declared subsets; if none, those with a
+    language that begins with one of the prefixes; if none, all. Scores are main_score; a split without any is left out.
+    """
+    parsed = documents.select(F.col(entity).alias("entity"), F.col(task).alias("task"), F.from_json(body, f"scores map<string, {ENTRY}>").getField("scores").alias("m"), F.col(splits).alias("declared"), F.col(subsets).alias("subsets"), F.col(prefixes).alias("prefixes")).filter("m is not null")
+    have = F.map_keys("m")
+    declared = F.array_intersect("declared", have)
+    chosen = F.when(F.array_contains(have, "test"), F.array(F.lit("test"))).when(F.size(declared) > 0, declared).otherwise(have)
+    each = parsed.select("entity", "task", "subsets", "prefixes", "m", F.explode(chosen).alias("split")).withColumn("all", F.col("m")[F.col("split")])
+    named = F.filter("all", lambda e: F.coalesce(F.array_contains("subsets", e["hf_subset"]), F.lit(False)))
+    prefixed = F.filter("all", lambda e: F.exists(F.coalesce(e["languages"], F.array().cast("array<string>")), lambda c: F.array_contains("prefixes", F.lower(F.split(c, "-")[0]))))
+    picked = F.when(F.size(named) > 0, named).when(F.size(prefixed) > 0, prefixed).otherwise(F.col("all"))
+    values = F.filter(F.transform(picked, lambda e: e["main_score"]), lambda v: v.isNotNull() & ~F.isnan(v))
+    means = each.select("entity", "task", values.alias("v")).filter(F.size("v") > 0).select("entity", "task", (F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / F.size("v")).alias("mean"))
+    return means.groupBy("entity", "task").agg(F.count(F.lit(1)).alias("splits"), F.avg("mean").alias("score"))
+
+
 def latest_revisions(paths: DataFrame, entity: str, revision: str, excluded: Sequence[str] = ()) -> DataFrame:
     """(entity, revision): the last revision by name, leaving out the excluded ones."""
     return paths.filter(~F.col(revision).isin(*excluded) if excluded else F.lit(True)).groupBy(entity).agg(F.max(revision).alias(revision))

@@ -131,3 +131,39 @@ def test_remote_vectors(spark):
         return lambda texts: [[float(len(t))] for t in texts]
 
     assert sorted((r.id, r.embedding) for r in remote_vectors(df, "id", "text", connect, batch=1).collect()) == [(1, [2.0]), (2, [1.0])]
+
+
+def test_result_documents_of_any_layout(spark):
+    from tausift.sources.readers import result_scores, score_at, task_scores
+
+    e = '{"languages": ["%s"], "hf_subset": "%s", "ndcg_at_10": %s, "main_score": %s}'
+    rows = [
+        ("list", '{"scores": {"test": [' + ", ".join([e % ("ita", "a", 0.1, 0.2), e % ("hin", "b", "null", 0.4), e % ("ita", "c", 0.3, 0.6)]) + "]}}"),
+        ("keyed", '{"scores": {"test": {"ita": {"ndcg_at_10": 0.5}, "hin": {"ndcg_at_10": null}}}}'),
+        ("top", '{"scores": {"test": []}, "test": [' + e % ("hin", "b", 0.7, 0.8) + "]}"),
+        ("dev", '{"scores": {"dev": [' + e % ("hin", "b", 0.9, 0.9) + '], "train": [' + e % ("hin", "x", 0.1, 0.3) + "]}}"),
+        ("broken", "{"),
+        ("none", None),
+    ]
+    df = spark.createDataFrame([(k, "t", b) for k, b in rows], "entity string, task string, body string")
+    by_language, means = result_scores(df, "entity", "task", "body")
+    assert sorted((r.entity, r.language, r.score) for r in by_language.collect()) == [("dev", "hin", 0.9), ("keyed", "ita", 0.5), ("list", "ita", 0.3), ("top", "hin", 0.7)]
+    assert sorted((r.entity, r.n, round(r.score, 4)) for r in means.collect()) == [("dev", 2, 0.5), ("list", 3, 0.2667)]
+    at = {r.entity: r.s for r in df.select("entity", score_at(df.body, ["ita"]).alias("s")).collect()}
+    assert at == {"list": 0.1, "keyed": 0.5, "top": None, "dev": None, "broken": None, "none": None}
+    declared = df.selectExpr("*", "array('dev', 'train') splits", "array('b', 'x') subsets", "array('ita') prefixes")
+    got = {r.entity: (r.splits, round(r.score, 4)) for r in task_scores(declared.filter("entity <> 'keyed'"), "entity", "task", "body", "splits", "subsets", "prefixes").collect()}
+    assert got == {"list": (1, 0.4), "dev": (2, 0.6)}
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from tausift.runtime import shared_dir
+
+    missing = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="spark://host:7077", getConf=lambda: {}, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: missing)))
+    with pytest.raises(ValueError):
+        shared_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: None)))
