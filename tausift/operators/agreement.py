@@ -20,7 +20,7 @@ MERGE_ROWS, GRID = 200_000, 1_000
 
 def inversions(ranks: np.ndarray) -> int:
     """Pairs i < j with ranks[i] > ranks[j], by merging."""
-    total, width = 0, 1
+    total = 0
     values = np.asarray(ranks, dtype=np.int64)
     n = len(values)
     if n < 2:
@@ -33,8 +33,7 @@ def inversions(ranks: np.ndarray) -> int:
     for start in range(0, len(rows), 1024):
         part = rows[start : start + 1024]
         total += int(((part[:, :, None] > part[:, None, :]) & upper).sum())
-    runs = [r for r in np.sort(rows, axis=1)]
-    width = block
+    runs = list(np.sort(rows, axis=1))
     while len(runs) > 1:
         merged = []
         for k in range(0, len(runs) - 1, 2):
@@ -43,7 +42,7 @@ def inversions(ranks: np.ndarray) -> int:
             merged.append(np.sort(np.concatenate((left, right)), kind="stable"))
         if len(runs) % 2:
             merged.append(runs[-1])
-        runs, width = merged, width * 2
+        runs = merged
     return total
 
 
@@ -90,13 +89,52 @@ def count_inversions(df: DataFrame, group: list[str], order: list[str], value: l
     return cross.unionByName(rows).unionByName(columns).groupBy(*group).agg(F.sum("__d").cast("long").alias(name))
 
 
+COUNTS = "n long, pairs long, concordant long, discordant long, tied_x long, tied_y long, tied_both long"
+
+
+def counts_of(x: np.ndarray, y: np.ndarray) -> tuple[int, ...]:
+    """The columns of `pair_counts` for two arrays without nulls."""
+    n = len(x)
+    pairs = n * (n - 1) // 2
+    order = np.lexsort((y, x))
+    xs, ys = x[order], y[order]
+    tied = lambda c: int((c * (c - 1) // 2).sum())
+    lengths = lambda new: np.diff(np.flatnonzero(np.concatenate((new, [True]))))
+    new_x = np.concatenate(([True], xs[1:] != xs[:-1])) if n else np.zeros(0, bool)
+    new_both = new_x | (np.concatenate(([True], ys[1:] != ys[:-1])) if n else new_x)
+    ranked, counts_y = np.unique(ys, return_inverse=True, return_counts=True)[1:] if n else (ys, ys)
+    all_x, both, all_y = tied(lengths(new_x)), tied(lengths(new_both)), tied(counts_y)
+    discordant = inversions(ranked)
+    return n, pairs, pairs - discordant - all_x - all_y + both, discordant, all_x - both, all_y - both, both
+
+
+def _oriented(x: np.ndarray, y: np.ndarray) -> int:
+    """Pairs i < j with y_i > y_j among those tied in x."""
+    order = np.argsort(x, kind="stable")
+    of_x, of_y = np.unique(x[order], return_inverse=True)[1], np.unique(y[order], return_inverse=True)[1]
+    return inversions(of_x.astype(np.int64) * (len(x) + 1) + of_y)
+
+
 def pair_counts(df: DataFrame, group: list[str], x: str, y: str, orientation: str | None = None, most: int = MERGE_ROWS) -> DataFrame:
     """Per group: n, pairs, concordant, discordant, tied_x and tied_y (in that one only), tied_both, all BIGINT.
 
     With a column `orientation` also oriented: pairs on which the strict comparisons x_i > x_j and y_i > y_j differ, i
     standing before j in that column; one-sided ties count in one orientation only. Rows with a null x or y are left out.
     """
-    rows = df.dropna(subset=[x, y])
+    rows = df.dropna(subset=[x, y]).select(*group, *dict.fromkeys([x, y, *([orientation] if orientation else [])]))
+    if largest_group(rows, group) <= most:
+        kinds = ", ".join(f"`{g}` {df.schema[g].dataType.simpleString()}" for g in group)
+
+        def count(pdf: pd.DataFrame) -> pd.DataFrame:
+            if orientation:
+                pdf = pdf.sort_values(orientation, kind="stable")
+            a, b = pdf[x].to_numpy(), pdf[y].to_numpy()
+            found = list(counts_of(a, b))
+            if orientation:
+                found.append(found[3] + _oriented(a, b) + _oriented(b, a))
+            return pd.DataFrame([[*(pdf[g].iloc[0] for g in group), *found]])
+
+        return rows.groupBy(*group).applyInPandas(count, f"{kinds}, {COUNTS}{', oriented long' if orientation else ''}")
     inverted = count_inversions(rows, group, [x], [y], "discordant", most)
     pairs_of = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2).cast("long")
     sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))

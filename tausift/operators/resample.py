@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tausift.operators.agreement import inversions, pair_counts
+from tausift.operators.agreement import COUNTS, counts_of, pair_counts
 from tausift.operators.order import largest_group, ordinal
 
 #: Rows of a group up to which a task holds it as arrays, and replicates that a task draws.
@@ -98,25 +98,6 @@ def fits_arrays(df: DataFrame, group: list[str]) -> bool:
     return largest_group(df, group) <= ARRAY_ROWS
 
 
-COUNTS = "n long, pairs long, concordant long, discordant long, tied_x long, tied_y long, tied_both long"
-
-
-def counts_of(x: np.ndarray, y: np.ndarray) -> tuple[int, ...]:
-    """The columns of `pair_counts` for two arrays without nulls."""
-    n = len(x)
-    pairs = n * (n - 1) // 2
-    order = np.lexsort((y, x))
-    xs, ys = x[order], y[order]
-    tied = lambda c: int((c * (c - 1) // 2).sum())
-    lengths = lambda new: np.diff(np.flatnonzero(np.concatenate((new, [True]))))
-    new_x = np.concatenate(([True], xs[1:] != xs[:-1])) if n else np.zeros(0, bool)
-    new_both = new_x | (np.concatenate(([True], ys[1:] != ys[:-1])) if n else new_x)
-    ranked, counts_y = np.unique(ys, return_inverse=True, return_counts=True)[1:] if n else (ys, ys)
-    all_x, both, all_y = tied(lengths(new_x)), tied(lengths(new_both)), tied(counts_y)
-    discordant = inversions(ranked)
-    return n, pairs, pairs - discordant - all_x - all_y + both, discordant, all_x - both, all_y - both, both
-
-
 def rho_of(x: np.ndarray, y: np.ndarray) -> float | None:
     """Spearman's rho: the correlation of average ranks; None if either side has one value only."""
 

@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tausift.runtime import small
+from tausift.runtime import cut, small
 
-#: Queries that are held by a task at a time; more go in further passes.
-QUERY_BLOCK = 20_000
+#: Queries and vectors in a block.
+QUERY_BLOCK, VECTOR_BLOCK = 1_000, 5_000
 
 
 def bm25(queries: DataFrame, documents: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
@@ -34,9 +34,9 @@ def bm25(queries: DataFrame, documents: DataFrame, k: int, k1: float = 1.5, b: f
     wanted = small(asked.select("t").distinct())
     held = documents.select("doc_id", F.size("tokens").cast("double").alias("dl"), F.explode("tokens").alias("t")).join(wanted, "t", "left_semi")
     postings = held.groupBy("t", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    hits = postings.join(asked.join(idf, "t"), "t")
+    hits = postings.join(small(asked.join(idf, "t")), "t")
     part = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("qid", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    scored = cut(hits.groupBy("qid", "doc_id").agg(F.round(F.sum(part), 6).alias("score")))  # read three times below
     # the k first documents of all that a query doesn't hit: the k + (hits) first by id hold them
     scores = scored.filter("score > 0")
     few = scores.groupBy("qid").agg(F.count(F.lit(1)).alias("c")).join(queries.select("qid").distinct(), "qid", "right").filter(F.coalesce("c", F.lit(0)) < k).select("qid")
@@ -47,48 +47,56 @@ def bm25(queries: DataFrame, documents: DataFrame, k: int, k1: float = 1.5, b: f
     return scores.union(others).union(spare).withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
 
 
+def _packed(df: DataFrame, rows: int) -> DataFrame:
+    """(ids, width, data): vectors of one length in blocks of at most `rows`, as matrices of 8-byte floats."""
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                values, offsets = part.column(1).flatten().to_numpy(zero_copy_only=False), np.diff(part.column(1).offsets.to_numpy())
+                starts = np.concatenate(([0], np.cumsum(offsets)))
+                for width in np.unique(offsets).tolist():
+                    of = np.flatnonzero(offsets == width)
+                    data = values[(starts[of][:, None] + np.arange(width)).ravel()].astype("<f8")
+                    ids = part.column(0).take(pa.array(of))
+                    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(of)], pa.int32()), ids), pa.array([width], pa.int32()), pa.array([data.tobytes()], pa.binary())], names=["ids", "width", "data"])
+
+    return df.mapInArrow(pack, f"ids array<{df.schema[0].dataType.simpleString()}>, width int, data binary")
+
+
 def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, same: bool = False) -> DataFrame:
     """(qid, doc_id, score, rank): the k vectors with the largest dot product to each query, exactly.
 
-    queries and vectors: (id, embedding). same=True: a query isn't its own neighbour. The queries go to the tasks in blocks
-    of at most QUERY_BLOCK; each batch of vectors is multiplied as one matrix and keeps k rows per query, which are then
-    merged by query. Scores are rounded to 6 decimals; equal ones go by id. Null vectors and vectors of another length are
-    left out.
+    queries and vectors: (id, embedding). same=True: a query isn't its own neighbour. Both sides are packed into blocks; a
+    join brings every block of queries to every block of vectors, one matrix product each, which keeps k rows per query; these
+    are then merged by query. Query blocks that are small in all are broadcast, so that the vectors stay where they are.
+    Scores are rounded to 6 decimals; equal ones go by id. Null vectors and vectors of another length are left out.
     """
-    spark = vectors.sparkSession
     rows = vectors.select(F.col("id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("e")).dropna()
     asked = queries.select(F.col("id").alias("qid"), F.col("embedding").cast("array<double>").alias("e")).dropna()
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     schema = T.StructType([T.StructField("qid", asked.schema["qid"].dataType), T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("score", T.DoubleType())])
-    out = None
-    for block in range(blocks):
-        part = asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block).orderBy("qid").collect()
-        sent = spark.sparkContext.broadcast(([r.qid for r in part], np.array([r.e for r in part])))
-
-        def best(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            names, matrix = sent.value
-            if not names:
-                return
-            for batch in batches:
-                ids, lists = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                kept = [(i, e) for i, e in zip(ids, lists, strict=True) if len(e) == matrix.shape[1]]
-                if not kept:
-                    continue
-                own = np.array([i for i, _ in kept])
-                dots = np.round(matrix @ np.array([e for _, e in kept]).T, 6)
-                q, doc, score = [], [], []
-                for row, name in enumerate(names):
-                    order = np.lexsort((own, -dots[row]))
-                    order = [j for j in order[: k + 1] if not (same and own[j] == name)][:k]
-                    q += [name] * len(order)
-                    doc += [own[j].item() for j in order]
-                    score += [float(dots[row][j]) for j in order]
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(doc), pa.array(score, pa.float64())], names=["qid", "doc_id", "score"])
-
-        found = rows.mapInArrow(best, schema)
-        out = found if out is None else out.union(found)
+    parts = max(2, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    held = _packed(rows, VECTOR_BLOCK).withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)))
+    sought = _packed(asked, QUERY_BLOCK).select(F.col("ids").alias("qids"), "width", F.col("data").alias("qdata"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
+    met = held.join(small(sought), ["part", "width"]).select("ids", "qids", "width", "data", "qdata")
+
+    def best(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, names, width, data, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own, asked_ids = np.array(ids), np.array(names)
+                dots = np.round(np.frombuffer(wanted, "<f8").reshape(-1, width) @ np.frombuffer(data, "<f8").reshape(-1, width).T, 6)
+                if same:
+                    dots[asked_ids[:, None] == own] = -np.inf
+                if len(own) > k:
+                    least = -np.partition(-dots, k - 1, axis=1)[:, k - 1]  # all rows that tie with the k-th are kept till the merge
+                    row, at = np.nonzero((dots >= least[:, None]) & (dots > -np.inf))
+                else:
+                    row, at = np.nonzero(dots > -np.inf)
+                yield pa.RecordBatch.from_arrays([pa.array(asked_ids[row].tolist(), batch.schema.field(1).type.value_type), pa.array(own[at].tolist(), batch.schema.field(0).type.value_type), pa.array(dots[row, at])], names=["qid", "doc_id", "score"])
+
     order = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("doc_id").asc())
-    return out.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
+    return met.mapInArrow(best, schema).withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
 
 
 def fuse(runs: DataFrame, k: int = 60) -> DataFrame:

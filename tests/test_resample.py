@@ -2,8 +2,8 @@ import random
 
 import numpy as np
 
-from tausift.operators.agreement import pair_counts
-from tausift.operators.resample import bootstrap_pairs, bootstrap_rows, counts_of, drawn_order, drawn_with_replacement, permuted, permuted_pairs, replicates, rho_of
+from tausift.operators.agreement import counts_of, pair_counts
+from tausift.operators.resample import bootstrap_pairs, bootstrap_rows, drawn_order, drawn_with_replacement, permuted, permuted_pairs, replicates, rho_of
 
 NAMES = ["g", "rep", "n", "pairs", "concordant", "discordant", "tied_x", "tied_y", "tied_both"]
 
@@ -46,6 +46,15 @@ def test_replicates_in_arrays_and_by_joins(spark):
     assert rows_of(permuted_pairs(df, ["g"], "e", "x", "y", 7)) == rows_of(pair_counts(dealt, ["g", "rep"], "x", "y"))
 
 
+def test_counts_in_one_task_and_by_joins(spark):
+    df = table(spark)
+    one, many = pair_counts(df, ["g"], "x", "y", "e"), pair_counts(df, ["g"], "x", "y", "e", most=1)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.select(one.columns).collect()))
+    rows = [r for r in df.collect() if r.g == "a"]
+    differ = sum((p.x > q.x) != (p.y > q.y) for i, p in enumerate(sorted(rows, key=lambda r: r.e)) for q in sorted(rows, key=lambda r: r.e)[i + 1 :])
+    assert next(r.oriented for r in one.collect() if r.g == "a") == differ
+
+
 def test_every_replicate_once(spark):
     got = replicates(table(spark), ["g"], "e", ["x"], 600, lambda rep, c: (int(c["x"].sum()),), "s long").groupBy("g").count().collect()
     assert {tuple(r) for r in got} == {("a", 600), ("b", 600), ("c", 600)}
