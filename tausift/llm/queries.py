@@ -76,7 +76,7 @@ def p3_rebuilt(spark: SparkSession, d: str) -> DataFrame:
     fresh = F.when(F.col("piece_no") == 1, F.col("piece")).otherwise(F.expr("substring(piece, overlap_size + 1)"))
     whole = pieces.groupBy("doc_id").agg(
         F.array_sort(F.collect_list(F.struct("piece_no", "start", "end", fresh.alias("fresh")))).alias("p"), F.max(F.length("piece")).alias("longest"), F.max("max_size").alias("max_size"), F.max("overlap_size").alias("overlap"), F.max("n_pieces").alias("pieces"),
-        F.count_if((F.col("boundary") == "none") & F.expr("regexp_instr(substring(piece, overlap_size + 2), '[\\s。！？।!?]') > 0")).alias("parted"),
+        F.count_if((F.col("boundary") == "none") & F.expr("substring(piece, overlap_size + 2)").rlike(r"[\s。！？।!?]")).alias("parted"),
     )
     shared = F.expr("forall(sequence(1, size(p)), k -> k = 1 or p[k - 1].start = p[k - 2].end - overlap)")
     return whole.select("doc_id", F.md5(F.concat_ws("", "p.fresh")).alias("text_md5"), (F.col("longest") <= F.col("max_size")).alias("within_limit"), shared.alias("shared"), (F.expr("p.piece_no = sequence(1, size(p))") & (F.size("p") == F.col("pieces"))).alias("numbered"), "parted")
@@ -111,6 +111,16 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return total.select("containers", least.alias("least_containers"), "pieces", "tokens", "fullest", (1 - F.col("tokens") / (F.col("containers") * capacity)).alias("unused_share"))
 
 
+def p6_held(spark: SparkSession, d: str) -> DataFrame:
+    """What the containers keep to: every text is in one, none is over the limit, and only texts over it are divided."""
+    capacity = _capacity(spark, d)
+    pieces = cut(p6_containers(spark, d))
+    over = pieces.groupBy("container_id").agg(F.sum("n_tokens").alias("t")).filter(F.col("t") > capacity).agg(F.count(F.lit(1)).alias("over_limit"))
+    texts = pieces.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.count_distinct("piece_no").alias("numbers"), F.sum("n_tokens").alias("t"))
+    wrong = (F.col("pieces") > 1) & ((F.col("t") <= capacity) | (F.col("pieces") != F.ceil(F.col("t") / capacity)) | (F.col("numbers") != F.col("pieces")))
+    return texts.agg(F.count(F.lit(1)).alias("texts"), F.count_if(wrong).alias("wrongly_divided")).join(F.broadcast(over))  # one row each
+
+
 def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold evaluation items, with the share of the item that stands in one stretch."""
     return leaked_items(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_item"), "item_id", "text")
@@ -131,7 +141,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_shapes(spark, d).filter("is_spam").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_defects_by_language, p2_found, p3_found, p3_pieces, p3_rebuilt, p5_found, p5_matches, p6_containers, p6_fill, p7_found, p7_leaks, p8_found, p8_shapes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_defects_by_language, p2_found, p3_found, p3_pieces, p3_rebuilt, p5_found, p5_matches, p6_containers, p6_fill, p6_held, p7_found, p7_leaks, p8_found, p8_shapes)}
 
 _SPACES = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}。！？!?।]"
 
@@ -154,6 +164,7 @@ ORACLE = {
                     THEN 'forced' ELSE 'natural' END AS cut_kind
         FROM latest JOIN size_limit ON item_table = 'corpus_document' AND lang = language
         WHERE length(content) > max_size""",
+    "p6_held": "SELECT count(DISTINCT doc_id) AS texts, CAST(0 AS BIGINT) AS wrongly_divided, CAST(0 AS BIGINT) AS over_limit FROM documents WHERE doc_id IS NOT NULL",
     "p3_rebuilt": """
         WITH latest AS (SELECT doc_id, arg_max(content, created_at) AS content, arg_max(language, created_at) AS language
                         FROM corpus_document WHERE doc_id IS NOT NULL GROUP BY doc_id)
