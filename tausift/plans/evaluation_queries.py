@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tausift.functions.text import word_tokens
-from tausift.operators.order import ordinal, tie_ranks
+from tausift.operators.order import at_positions, ordinal, running, tie_ranks
+from tausift.operators.resample import DRAW_SQL, bootstrap_rows, drawn_with_replacement, fits_arrays, replicates
 from tausift.operators.retrieval import bm25, dense_top_k, evaluate, fuse
-from tausift.operators.scores import covered_items, to_unit_scale
-from tausift.plans.base import LOCAL, SLICES, local_scores, slices
-from tausift.plans.text_queries import _WORDS
+from tausift.operators.scores import covered_items, ratio, to_unit_scale
+from tausift.plans.base import BOARDS, LOCAL, SLICES, boards, local_scores, slices
+from tausift.plans.relational_queries import REPS
+from tausift.plans.text_queries import _METRICS, _WORDS, _label_relevance, retrieval_metrics
 from tausift.runtime import table
 from tausift.sources.readers import result_scores, score_at, task_scores
 
@@ -153,7 +155,84 @@ def hybrid_comparison(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-QUERIES = {f.__name__: f for f in (result_layouts, result_means, point_scores, subset_policy, unit_scale, judged_lists, roster_membership, cluster_table, stage_plan, hybrid_comparison)}
+def paired_metric_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """Two dense runs, over whole vectors and over their first half, per query: mean difference of NDCG at ten, its 95 percent
+    interval over bootstrap replicates of the queries, and the two-sided p."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    half = v.select("id", F.slice("embedding", 1, (F.size("embedding") / 2).cast("int")).alias("embedding"))
+    relevant = _label_relevance(spark, d)
+    runs = [evaluate(dense_top_k(x.filter("id % 100 = 0"), x, 10, same=True), relevant).select("qid", F.round(F.col("ndcg") * 1_000_000).cast("long").alias(n)) for n, x in (("a", v), ("b", half))]
+    deltas = runs[0].join(runs[1], "qid").select(F.lit("all").alias("set"), "qid", (F.col("a") - F.col("b")).alias("delta"))
+    if fits_arrays(deltas, ["set"]):
+        means = replicates(deltas, ["set"], "qid", ["delta"], REPS, lambda rep, c: (float(c["delta"][drawn_with_replacement(rep, len(c["delta"]), 42)].sum()) / len(c["delta"]),), "m double")
+    else:
+        means = bootstrap_rows(deltas, ["set"], "qid", ["delta"], REPS).groupBy("set", "rep").agg(ratio(F.sum("delta"), F.count("delta")).alias("m"))
+    q = at_positions(means, ["set"], "m", {"low": (F.col("n") - 1) * F.lit(0.025), "high": (F.col("n") - 1) * F.lit(0.975)})
+    tails = means.groupBy("set").agg(ratio(F.count_if(F.col("m") <= 0), F.count(F.lit(1))).alias("under"), ratio(F.count_if(F.col("m") >= 0), F.count(F.lit(1))).alias("over"))
+    observed = deltas.groupBy("set").agg(F.count(F.lit(1)).alias("queries"), F.round(ratio(F.sum("delta"), F.count("delta")), 4).alias("mean_delta"))
+    return observed.join(q, "set").join(tails, "set").select("queries", "mean_delta", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"), F.least(F.lit(1.0), 2 * F.least("under", "over")).alias("p"))
+
+
+def retrieval_by_type(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of dense retrieval over all queries and by label of the query, in one table."""
+    of = table(spark, d, "embeddings").select(F.col("vec_id").alias("qid"), F.col("label").cast("string").alias("type"))
+    rows = retrieval_metrics(spark, d).join(of, "qid")
+    both = rows.select(F.explode(F.array(F.lit("overall"), F.col("type"))).alias("type"), "ndcg", "recall", "mrr")
+    return both.groupBy("type").agg(F.count(F.lit(1)).alias("queries"), *(F.round(F.avg(c), 5).alias(c) for c in ("ndcg", "recall", "mrr")))
+
+
+#: Columns by which a view could be filtered, and the tables that may have them.
+FILTERS, VIEWS = ("tier", "english_only", "dim", "license", "language", "board"), ("unified_results", "leaderboard", "lang_avg_per_model", "per_task_ndcg")
+
+
+def filter_exposure(spark: SparkSession, d: str) -> DataFrame:
+    """Which of the tables have which of the columns that a view could be filtered by."""
+    rows = [(v, f, f in table(spark, d, v).columns) for v in VIEWS for f in FILTERS]
+    return spark.createDataFrame(rows, "view string, field string, present boolean")
+
+
+def data_availability(spark: SparkSession, d: str) -> DataFrame:
+    """Per slice and task: entities of the slice, those with a score, and whether the data are complete, partial or missing."""
+    keys = boards(spark, d).select("entity", "slice")
+    tasks = local_scores(spark, d).select("task").distinct()
+    sizes = keys.groupBy("slice").agg(F.count(F.lit(1)).alias("entities"))
+    held = local_scores(spark, d).groupBy("slice", "task").agg(F.count(F.lit(1)).alias("scored"))
+    grid = sizes.withColumn("task", F.explode(F.array(*(F.lit(r.task) for r in tasks.orderBy("task").collect())))).join(held, ["slice", "task"], "left").withColumn("scored", F.coalesce("scored", F.lit(0)))
+    return grid.select("slice", "task", "entities", "scored", F.when(F.col("scored") == 0, "missing").when(F.col("scored") < F.col("entities"), "partial").otherwise("complete").alias("status"))
+
+
+def deployment_record(spark: SparkSession, d: str) -> DataFrame:
+    """Per type of event one record: mean and population deviation of the value in cents, interpolated p50 and p99, users, and
+    events a user."""
+    e = table(spark, d, "events").filter("value is not null and not isnan(value)").select("event_type", "user_id", F.round(F.col("value") * 100).cast("long").alias("c"))
+    spread = e.groupBy("event_type").agg(F.round(F.avg("c"), 4).alias("mean"), F.round(F.stddev_pop("c"), 4).alias("std"), F.count_distinct("user_id").alias("users"))
+    q = at_positions(e, ["event_type"], "c", {"p50": (F.col("n") - 1) * F.lit(0.5), "p99": (F.col("n") - 1) * F.lit(0.99)})
+    return spread.join(q, "event_type").select("event_type", "n", "mean", "std", F.round("p50", 4).alias("p50"), F.round("p99", 4).alias("p99"), "users", F.round(F.try_divide(F.col("n").cast("double"), F.col("users").cast("double")), 6).alias("events_a_user"))
+
+
+def lowest_from_here(spark: SparkSession, d: str) -> DataFrame:
+    """Per slice and entity, in order of the global score: the lowest local score from this entity on."""
+    return running(slices(spark, d).select("slice", "entity", "g", "l"), ["slice"], [F.col("g").desc(), F.col("entity").desc()], "l", "min", "lowest").select("slice", "entity", "lowest")
+
+
+def distinct_references(spark: SparkSession, d: str) -> DataFrame:
+    """Per query type: references, and references without repeats within a pair."""
+    pairs = table(spark, d, "qar_pair").filter("query_id is not null and refs is not null").groupBy("query_id").agg(F.max(F.struct("query_type", "refs")).alias("r"))
+    return pairs.groupBy(F.col("r.query_type").alias("query_type")).agg(F.sum(F.size("r.refs")).alias("refs"), F.sum(F.size(F.array_distinct("r.refs"))).alias("distinct_refs"))
+
+
+#: Prices per million characters read and written.
+PRICES = (0.15, 0.6)
+
+
+def writing_costs(spark: SparkSession, d: str) -> DataFrame:
+    """Per query type: characters read and written, and what they cost at fixed prices per million."""
+    pairs = table(spark, d, "qar_pair").filter("query_id is not null").groupBy("query_id").agg(F.max(F.struct("query_type", F.length("question").alias("a"), F.length("generated_answer").alias("b"))).alias("r"))
+    sums = pairs.groupBy(F.col("r.query_type").alias("query_type")).agg(F.coalesce(F.sum("r.a"), F.lit(0)).alias("read"), F.coalesce(F.sum("r.b"), F.lit(0)).alias("written"))
+    return sums.select("query_type", "read", "written", F.round((F.col("read") * F.lit(PRICES[0]) + F.col("written") * F.lit(PRICES[1])) / F.lit(1e6), 9).alias("cost"))
+
+
+QUERIES = {f.__name__: f for f in (paired_metric_bootstrap, retrieval_by_type, filter_exposure, data_availability, deployment_record, lowest_from_here, distinct_references, writing_costs, result_layouts, result_means, point_scores, subset_policy, unit_scale, judged_lists, roster_membership, cluster_table, stage_plan, hybrid_comparison)}
 
 _ROSTER = f"""{SLICES}, e AS (SELECT entity, max(tier) AS tier, max(g) AS g FROM slices GROUP BY entity), k AS (SELECT entity, tier, rank() OVER (ORDER BY g DESC) AS rank_all, rank() OVER (PARTITION BY tier ORDER BY g DESC) AS rank_tier FROM e),
     m AS (SELECT entity, slice, k.tier, rank_all, rank_tier, rank() OVER (PARTITION BY slice ORDER BY l DESC) AS local_rank FROM slices s JOIN k USING (entity))"""
@@ -167,7 +246,31 @@ def _vector_sql(name: str, source: str, id_: str, text: str) -> str:
     {name} AS (SELECT id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM {name}_v WHERE list_sum(v) > 0)"""
 
 
+def _ndcg_sql(name: str, width: str) -> str:
+    return f"""{name}_d AS (SELECT * FROM (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM (SELECT a.vec_id AS qid, b.vec_id AS doc_id, round(list_dot_product(CAST(a.embedding{width} AS DOUBLE[]), CAST(b.embedding{width} AS DOUBLE[])), 6) AS score
+        FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)) WHERE rank <= 10),
+    {name} AS (SELECT qid, CAST(round(coalesce(dcg / ideal, 0) * 1000000) AS BIGINT) AS v FROM ideal LEFT JOIN (SELECT qid, sum(1 / log2(rank + 1)) AS dcg FROM {name}_d JOIN rel USING (qid, doc_id) GROUP BY qid) USING (qid))"""
+
+
 ORACLE = {
+    "paired_metric_bootstrap": f"""WITH {_METRICS}, {_ndcg_sql('a', '')}, {_ndcg_sql('b', '[1 : len(a.embedding) // 2]')},
+        x AS (SELECT a.qid, a.v - b.v AS delta FROM a JOIN b USING (qid)), placed AS (SELECT delta, row_number() OVER (ORDER BY qid) AS k, count(*) OVER () AS n FROM x), reps AS (SELECT unnest(generate_series(1, {REPS})) AS rep),
+        m AS (SELECT rep, CAST(sum(b.delta) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS m FROM placed a CROSS JOIN reps JOIN placed b ON b.k - 1 = {DRAW_SQL.format(rep='rep', k='(a.k - 1)', seed=42)} % a.n GROUP BY rep)
+        SELECT (SELECT count(*) FROM x) AS queries, (SELECT round(CAST(sum(delta) AS DOUBLE) / count(*), 4) FROM x) AS mean_delta, round(quantile_cont(m, CAST(0.025 AS DOUBLE)), 4) AS low, round(quantile_cont(m, CAST(0.975 AS DOUBLE)), 4) AS high,
+            least(CAST(1 AS DOUBLE), 2 * least(CAST(count(*) FILTER (m <= 0) AS DOUBLE) / count(*), CAST(count(*) FILTER (m >= 0) AS DOUBLE) / count(*))) AS p FROM m""".replace("b.embedding[1 : len(a.embedding) // 2]", "b.embedding[1 : len(b.embedding) // 2]"),
+    "retrieval_by_type": f"""WITH {_METRICS}, x AS (SELECT CAST(label AS VARCHAR) AS type, ndcg, recall, mrr FROM metrics JOIN embeddings ON qid = vec_id), y AS (FROM x UNION ALL SELECT 'overall', ndcg, recall, mrr FROM x)
+        SELECT type, CAST(count(*) AS BIGINT) AS queries, round(avg(ndcg), 5) AS ndcg, round(avg(recall), 5) AS recall, round(avg(mrr), 5) AS mrr FROM y GROUP BY type""",
+    "filter_exposure": f"""WITH v(view) AS (VALUES {', '.join(f"('{v}')" for v in VIEWS)}), f(field) AS (VALUES {', '.join(f"('{f}')" for f in FILTERS)})
+        SELECT view, field, EXISTS (SELECT 1 FROM information_schema.columns c WHERE c.table_name = view AND c.column_name = field) AS present FROM v, f""",
+    "data_availability": f"""WITH {BOARDS}, {LOCAL}, k AS (SELECT slice, count(*) AS entities FROM boards GROUP BY slice), h AS (SELECT slice, task, count(*) AS c FROM local_scores GROUP BY ALL), x AS (SELECT slice, task, entities, coalesce(c, 0) AS scored FROM k CROSS JOIN (SELECT DISTINCT task FROM local_scores) LEFT JOIN h USING (slice, task))
+        SELECT slice, task, CAST(entities AS BIGINT) AS entities, CAST(scored AS BIGINT) AS scored, CASE WHEN scored = 0 THEN 'missing' WHEN scored < entities THEN 'partial' ELSE 'complete' END AS status FROM x""",
+    "deployment_record": """WITH e AS (SELECT event_type, user_id, CAST(round(value * 100) AS BIGINT) AS c FROM events WHERE value IS NOT NULL AND NOT isnan(value))
+        SELECT event_type, CAST(count(*) AS BIGINT) AS n, round(avg(c), 4) AS mean, round(stddev_pop(c), 4) AS std, round(quantile_cont(CAST(c AS DOUBLE), CAST(0.5 AS DOUBLE)), 4) AS p50, round(quantile_cont(CAST(c AS DOUBLE), CAST(0.99 AS DOUBLE)), 4) AS p99, CAST(count(DISTINCT user_id) AS BIGINT) AS users, round(CAST(count(*) AS DOUBLE) / nullif(count(DISTINCT user_id), 0), 6) AS events_a_user FROM e GROUP BY event_type""",
+    "lowest_from_here": f"WITH {SLICES} SELECT slice, entity, min(l) OVER (PARTITION BY slice ORDER BY g, entity ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lowest FROM slices",
+    "distinct_references": """WITH p AS (SELECT query_id, max(query_type) AS query_type, max(refs) AS refs FROM qar_pair WHERE query_id IS NOT NULL AND refs IS NOT NULL GROUP BY query_id)
+        SELECT query_type, CAST(sum(len(refs)) AS BIGINT) AS refs, CAST(sum(len(list_distinct(refs)) + CASE WHEN len(list_filter(refs, lambda x: x IS NULL)) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS distinct_refs FROM p GROUP BY query_type""",
+    "writing_costs": f"""WITH p AS (SELECT query_id, max(query_type) AS query_type, any_value(length(question)) AS a, any_value(length(generated_answer)) AS b FROM qar_pair WHERE query_id IS NOT NULL GROUP BY query_id),
+        s AS (SELECT query_type, CAST(coalesce(sum(a), 0) AS BIGINT) AS read, CAST(coalesce(sum(b), 0) AS BIGINT) AS written FROM p GROUP BY query_type) SELECT query_type, read, written, round((read * CAST({PRICES[0]} AS DOUBLE) + written * CAST({PRICES[1]} AS DOUBLE)) / CAST(1000000 AS DOUBLE), 9) AS cost FROM s""",
     "result_layouts": f"WITH {LOCAL} SELECT task, {_CODE_SQL} AS language, CAST(count(*) AS BIGINT) AS n, CAST(sum(s) AS BIGINT) AS total FROM local_scores GROUP BY ALL",
     "result_means": f"""WITH {LOCAL}, x AS (SELECT *, row_number() OVER (PARTITION BY entity, task ORDER BY {_CODE_SQL}) AS k FROM local_scores)
         SELECT entity, task, CAST(count(*) + count(*) FILTER (task = 'task_mlqa' AND k = 1) AS BIGINT) AS n, round((sum(s) + coalesce(sum(s) FILTER (task = 'task_mlqa' AND k = 1), 0)) / CAST(10000 AS DOUBLE) / (count(*) + count(*) FILTER (task = 'task_mlqa' AND k = 1)), 6) AS score
