@@ -10,7 +10,7 @@ from tausift.operators.order import ordinal, tie_ranks
 from tausift.operators.scores import ratio
 from tausift.operators.stats import spearman
 from tausift.plans.base import SLICES, boards, slices
-from tausift.runtime import table
+from tausift.runtime import small, table
 
 PAIR_SQL = f"""{SLICES}, pairs AS (SELECT a.slice, sign(a.g - b.g) * sign(a.l - b.l) AS p, sign(a.g - b.g) AS sx, sign(a.l - b.l) AS sy
     FROM slices a JOIN slices b ON a.slice = b.slice AND a.entity < b.entity),
@@ -154,8 +154,8 @@ def entity_trace(spark: SparkSession, d: str) -> DataFrame:
     """Every entity in every slice: its ranks, or why it has none."""
     everything = table(spark, d, "unified_results").filter("short_name is not null and language is not null")
     entities, languages = everything.select(F.col("short_name").alias("entity")).distinct(), everything.select(F.col("language").alias("slice")).distinct()
-    # languages are a fixed, small dimension: the product has a row per entity and language
-    full = entities.crossJoin(F.broadcast(languages))
+    # the product is the result: a row per entity and language; languages are broadcast if they are few
+    full = entities.crossJoin(small(languages))
     state = boards(spark, d).select("entity", "slice", "g", "l")
     traced = full.join(state, ["entity", "slice"], "left").join(_ranked(spark, d).select("entity", "slice", "g_min", "l_min"), ["entity", "slice"], "left")
     reason = F.when(F.col("l_min").isNotNull(), "ranked").when(F.col("l").isNotNull(), "no global score").when(F.col("g").isNotNull(), "no local score").otherwise("not in slice")
