@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tausift.operators.agreement import COUNTS, counts_of, pair_counts
 from tausift.operators.order import largest_group, ordinal
+from tausift.runtime import cut
 
 #: Rows of a group up to which a task holds it as arrays, and replicates that a task draws.
 ARRAY_ROWS, BLOCK = 1_000_000, 250
@@ -77,6 +78,8 @@ def replicates(df: DataFrame, group: list[str], item: str, columns: list[str], r
     """
     placed = ordinal(df, group, [F.col(item).asc()], "__k").select(*group, "__k", *columns)
     blocks = placed.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // BLOCK))))
+    # few bytes and much work: a fixed number of partitions, which adaptive execution doesn't merge into one
+    blocks = blocks.repartition(max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *group, "__block")
     kinds = ", ".join(f"`{g}` {df.schema[g].dataType.simpleString()}" for g in group)
     names = [part.split()[0] for part in schema.split(",")]
 
@@ -90,7 +93,8 @@ def replicates(df: DataFrame, group: list[str], item: str, columns: list[str], r
             out.insert(at, g, pdf[g].iloc[0])
         return out
 
-    return blocks.groupBy(*group, "__block").applyInPandas(run, f"{kinds}, rep long, {schema}")
+    # statistics of replicates are read several times; drawing them is the work
+    return cut(blocks.groupBy(*group, "__block").applyInPandas(run, f"{kinds}, rep long, {schema}"))
 
 
 def fits_arrays(df: DataFrame, group: list[str]) -> bool:
