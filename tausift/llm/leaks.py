@@ -1,9 +1,9 @@
 """Evaluation items that stand inside training documents.
 
 Items and documents become templates: words that items share or write in lower case stay, numbers, units and names turn into
-typed placeholders. Windows of five template tokens are hash-joined. A window that identifies an item by its template alone
-counts as it is; a template that many items share identifies none, so its windows join with their values. Windows that
-follow each other in both texts make stretches. An item counts as leaked if a stretch holds enough of its own text and its
+typed placeholders. Windows of five template tokens are hash-joined: by their template, whatever number of items has it, or
+with their values if they hold too few template words. Windows that follow each other in both texts make stretches. An item
+counts as leaked if a stretch holds enough of its own text and its
 slots hold the item's own values, or other values in the same places throughout: a question with new parameters.
 
 Documents are read once, whatever the number of items: a filter of bounded size says which windows some item has, only these
@@ -40,8 +40,6 @@ SEVERAL = 3
 TEMPLATE_ITEMS, TEMPLATE_SHARE = 4, 0.002
 #: Template words that a window needs to join by its template.
 TEMPLATE_WORDS = 3
-#: Templates that more items share identify none of them.
-IDENTIFYING = 8
 #: Item tokens that may be altered in a row, and document tokens that may come between.
 ITEM_GAP, DOCUMENT_GAP = 8, 80
 #: Words that a worker keeps the hashes of.
@@ -269,7 +267,8 @@ def consistent_slots(own: list[int], given: dict[int, int], slots: list[int]) ->
 def leak_of(windows: list[tuple[int, int, bytes | None]], shape: tuple[bytes, bytes, bytes]) -> tuple[float, float] | None:
     """(share of the item, share of its slots with its own values) if these windows of one document make a leak.
 
-    windows: (document position, item position, the document's values where they aren't the item's), in any order.
+    windows: (document position, item position, the document's values where they aren't the item's), in any order. Those with
+    the item's values are also tried by themselves, since a stretch of them may go over into the template with other values.
     """
     lengths, slots, own = np.frombuffer(shape[0], "<i4").tolist(), np.frombuffer(shape[1], "<i4").tolist(), np.frombuffer(shape[2], "<u4").tolist()
     windows = sorted(windows, key=lambda w: w[:2])
@@ -282,7 +281,9 @@ def leak_of(windows: list[tuple[int, int, bytes | None]], shape: tuple[bytes, by
                     given.setdefault(i + k, value)
         return consistent_slots(own, given, slots)
 
-    share, same = _stretch([(d, i, v is None) for d, i, v in windows], lengths, slots, consistent)
+    every = [(d, i, v is None) for d, i, v in windows]
+    own_values = [w for w in every if w[2]]
+    share, same = max(_stretch(w, lengths, slots, consistent) for w in ([every, own_values] if 0 < len(own_values) < len(every) else [every]))
     return (share, same) if share >= LEAST_SHARE else None
 
 
@@ -315,7 +316,7 @@ def _own_texts(first: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _item_index(own: DataFrame, lexicon: HashFilter) -> DataFrame:
-    """(key, i, at, v): the windows of all items, by template where it identifies, by value elsewhere."""
+    """(key, i, at, v): the windows of all items, by template where it has enough words, by value elsewhere."""
     kind = own.schema["i"].dataType.simpleString()
 
     def cut_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,14 +325,10 @@ def _item_index(own: DataFrame, lexicon: HashFilter) -> DataFrame:
             for k, text in enumerate(b.column(1).to_pylist()):
                 t, e, by_template, values = item_windows(text, words)
                 if len(t):
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column(0).take(pa.array([k] * len(t))), pa.array(np.arange(len(t), dtype=np.int32)), pa.array(t.view(np.int64)), pa.array(e.view(np.int64)), pa.array(by_template), values], names=["i", "at", "t", "e", "p", "v"]
-                    )
-
-    windows = cut(own.mapInArrow(cut_up, f"i {kind}, at int, t long, e long, p boolean, v binary"))
-    common = windows.filter("p").select("t", "i").distinct().groupBy("t").agg(F.count(F.lit(1)).alias("items")).filter(F.col("items") > IDENTIFYING).select("t", F.lit(True).alias("common"))
-    joined = windows.join(common, "t", "left")
-    return cut(joined.select(F.when(F.col("p") & F.col("common").isNull(), F.col("t")).otherwise(F.col("e")).alias("key"), "i", "at", "v"))
+                    key = np.where(by_template, t, e).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), b.column(0).take(pa.array([k] * len(t))), pa.array(np.arange(len(t), dtype=np.int32)), values], names=["key", "i", "at", "v"])
+
+    return cut(own.mapInArrow(cut_up, f"key long, i {kind}, at int, v binary"))
 
 
 def leaked_items(documents: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str) -> DataFrame:

@@ -109,3 +109,23 @@ def test_tables(spark):
 def test_two_fifths(found, share, hit):
     words = ITEMS[5].split()
     assert bool(found([" ".join(words[: int(len(words) * share)])])) == hit
+
+
+@pytest.mark.parametrize("count", [8, 12])
+def test_templates_of_many_items(found, count):
+    def problem(k, start):
+        names = {n: n + chr(97 + k) * 2 for n in ("Avora", "Belton", "Cirgan")} | {n: str(int(n) + start + 7 * k) for n in ("12", "30", "35")} | {" 4 ": f" {4 + start + k} ", " 2 ": f" {2 + start + k} "}
+        text = WORD_PROBLEM
+        for a, b in names.items():
+            text = text.replace(a, b)
+        return text
+
+    items = {k: problem(k, 40) for k in range(count)}
+    assert found(["words before it. " + problem(20, 500), problem(20, 500)[:80]], items) == {(0, k) for k in items}
+
+
+def test_own_values_that_go_over_into_others(found):
+    items = {k: item(k) for k in range(1, 13)}
+    words, others = items[3].split(), item(40).split()
+    at = int(len(words) * 0.46)
+    assert found([" ".join(words[:at] + others[at:])], items) == {(0, 3)}
